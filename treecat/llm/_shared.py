@@ -49,10 +49,12 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of one Arrow batch, so that long texts do not pile up in a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
+    """Bound the rows and bytes of one Arrow batch, so that long texts do not pile up in a Python worker."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

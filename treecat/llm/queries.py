@@ -7,15 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ._shared import table
+from .archive import ARCHIVE_SQL, op9_archive_converter
+from .bitslice_topk import TOP_K_SQL, op8_bit_sliced_top_k
+from .decontaminate import CONTAMINATION_SQL, contamination
 from .simhash import simhash_components
+from .url_templates import op10_url_template_filter
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
+    "op9_archive_converter": op9_archive_converter,
+    "op10_url_template_filter": op10_url_template_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_benchmark_decontamination": CONTAMINATION_SQL,
+    "op8_bit_sliced_top_k": TOP_K_SQL,
+    "op9_archive_converter": ARCHIVE_SQL,
+}
