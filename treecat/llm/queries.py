@@ -10,6 +10,9 @@ from ._shared import table
 from .archive import ARCHIVE_SQL, op9_archive_converter
 from .bitslice_topk import TOP_K_SQL, op8_bit_sliced_top_k
 from .decontaminate import CONTAMINATION_SQL, contamination
+from .interpolated_lm import op2_deleted_interpolation
+from .ordinal_toxicity import op5_ordinal_toxicity
+from .pairwise_quality import op4_pairwise_quality
 from .simhash import simhash_components
 from .url_templates import op10_url_template_filter
 
@@ -24,6 +27,9 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op4_pairwise_quality": op4_pairwise_quality,
+    "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
     "op9_archive_converter": op9_archive_converter,
