@@ -13,7 +13,9 @@ from .decontaminate import CONTAMINATION_SQL, contamination
 from .interpolated_lm import op2_deleted_interpolation
 from .ordinal_toxicity import op5_ordinal_toxicity
 from .pairwise_quality import op4_pairwise_quality
+from .pieces import op7_sentencepiece_viterbi
 from .simhash import simhash_components
+from .token_counts import op3_offset_token_counts
 from .url_templates import op10_url_template_filter
 
 
@@ -28,9 +30,11 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_deleted_interpolation": op2_deleted_interpolation,
+    "op3_offset_token_counts": op3_offset_token_counts,
     "op4_pairwise_quality": op4_pairwise_quality,
     "op5_ordinal_toxicity": op5_ordinal_toxicity,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_sentencepiece_viterbi": op7_sentencepiece_viterbi,
     "op8_bit_sliced_top_k": op8_bit_sliced_top_k,
     "op9_archive_converter": op9_archive_converter,
     "op10_url_template_filter": op10_url_template_filter,
