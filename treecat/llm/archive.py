@@ -189,7 +189,7 @@ def warc_record(headers: dict[str, object], block: bytes) -> bytes:
 
 def with_payload(records: DataFrame) -> DataFrame:
     """ARC records with ``page_id long, payload_bytes long, payload_digest string`` from their HTTP blocks."""
-    schema = records.select("*", F.lit(0).cast("long").alias("page_id"), F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest")).schema
+    schema = records.select("*", F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest")).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

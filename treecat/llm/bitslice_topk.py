@@ -29,7 +29,7 @@ class SlicedBlock:
     def __init__(self, ids: np.ndarray, values: np.ndarray, bits: int = 4):
         self.ids, self.values, self.n = ids, values, len(ids)
         self.low = values.min(axis=0)
-        span = int((values.max(axis=0) - self.low).max()) + 1
+        span = int((values - self.low).max(initial=0)) + 1
         self.step = 1 << max(0, int(span - 1).bit_length() - bits)
         codes = (values - self.low) // self.step
         self.depth = max(1, int(codes.max(initial=0)).bit_length())

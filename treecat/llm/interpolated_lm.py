@@ -39,7 +39,7 @@ BUCKETS = 48
 
 def _planes(values: np.ndarray) -> bytes:
     """The numbers' bytes by significance, which compress far better than number by number."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
 
 
 def _numbers(data: bytes, kind: type) -> np.ndarray:

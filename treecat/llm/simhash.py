@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import cut, lower_bytes, small_batches
 from .components import connected_components
@@ -202,15 +202,15 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """``prints(doc_id, fp)`` -> ``(fp, component_id)``: per distinct fingerprint the smallest doc_id reachable.
+    """``prints(doc_id, fp)`` -> ``(fp, component, component_id)``: per distinct fingerprint the smallest doc_id reachable.
 
-    A null doc_id never is the smallest; a component of null ids alone has a null id.
+    ``component`` is the component's smallest fingerprint. A null doc_id never is the smallest; a component of null ids alone has a null id.
     """
     own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
     nodes = connected_components(fingerprint_links(own.select("fp"), radius)).withColumnRenamed("node", "fp")
     nodes = cut(own.join(nodes, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "nodes")
     smallest = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return nodes.select("fp", "component").join(smallest, "component").select("fp", "component_id")
+    return nodes.select("fp", "component").join(smallest, "component").select("fp", "component", "component_id")
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
@@ -234,12 +234,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4) -> DataFrame:
     columns = docs.columns
     marked = with_fingerprint(docs, name="__fp")
     prints = cut(marked.select("doc_id", F.col("__fp").alias("fp")), "fingerprints")
-    stay = fingerprint_components(prints, radius).withColumnsRenamed({"fp": "__fp", "component_id": "__id"})
+    stay = fingerprint_components(prints, radius).withColumnsRenamed({"fp": "__fp", "component": "__component", "component_id": "__id"})
     repeated = prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     kept = marked.join(stay, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
     if repeated:
-        from pyspark.sql import Window
-
-        order = Window.partitionBy("doc_id", "__id").orderBy("text")
+        order = Window.partitionBy("doc_id", "__component").orderBy("text")
         kept = kept.withColumn("__n", F.row_number().over(order)).where("__n = 1")
     return kept.select(*columns)
