@@ -16,7 +16,7 @@ from .pairwise_quality import op4_pairwise_quality
 from .pieces import op7_sentencepiece_viterbi
 from .simhash import simhash_components
 from .token_counts import op3_offset_token_counts
-from .url_templates import op10_url_template_filter
+from .url_templates import URL_SQL, op10_url_template_filter
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,4 +44,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_benchmark_decontamination": CONTAMINATION_SQL,
     "op8_bit_sliced_top_k": TOP_K_SQL,
     "op9_archive_converter": ARCHIVE_SQL,
+    "op10_url_template_filter": URL_SQL,
 }

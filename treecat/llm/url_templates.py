@@ -115,3 +115,39 @@ def judge_urls(pages: DataFrame, url: str = "url", rules: tuple = RULES, **tree)
 
 def op10_url_template_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
+
+
+def _url_sql(depth: int = 8) -> str:
+    """The same tree in DuckDB: levels unrolled, default parameters."""
+    fold = lambda c: f"translate({c}, '{UPPER}', '{LOWER}')"
+    cases = sorted(RULES, key=lambda r: -len(r[0]))
+    fits = [f"(host = '{t.partition('/')[0]}' OR ends_with(host, '.{t.partition('/')[0]}')) AND starts_with(path, '/{t.partition('/')[2]}')" for t, _ in cases]
+    when = lambda values: "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, v in zip(fits, values)) + " END"
+    steps = [
+        "r AS MATERIALIZED (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        "h AS MATERIALIZED (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw FROM r)",
+        f"hp AS MATERIALIZED (SELECT page_id, {fold('raw')} AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)",
+        f"u AS MATERIALIZED (SELECT *, {when([t for t, _ in cases])} AS rule, {when([v for _, v in cases])} AS says FROM hp)",
+        "p0 AS MATERIALIZED (SELECT host, path, count(*) AS n, count(says) AS k, count(*) FILTER (says = 'block') AS bad, list_filter(string_split(path, '/'), lambda s: s <> '') AS seg, '' AS template FROM u GROUP BY host, path)",
+        "o AS MATERIALIZED (SELECT (coalesce(sum(bad), 0) + 5.0::DOUBLE * 0.5::DOUBLE) / (coalesce(sum(k), 0) + 5.0::DOUBLE) AS overall FROM p0)",
+        "n0 AS MATERIALIZED (SELECT host, '' AS template, sum(n) AS n, (sum(bad) + 5.0::DOUBLE * (SELECT overall FROM o)) / (sum(k) + 5.0::DOUBLE) AS impurity FROM p0 GROUP BY host)",
+    ]
+    for i in range(depth):
+        past = "CASE WHEN len(seg) > {0} THEN '/**' ELSE '' END".format(i + 1) if i == depth - 1 else "''"
+        steps += [
+            f"c{i} AS MATERIALIZED (SELECT p.host, p.template, p.seg[{i + 1}] AS s, sum(p.n) AS n, sum(p.k) AS k, sum(p.bad) AS bad, any_value(d.n) AS all_n FROM p{i} p JOIN n{i} d ON d.host = p.host AND d.template = p.template WHERE len(p.seg) > {i} GROUP BY 1, 2, 3)",
+            f"l{i} AS MATERIALIZED (SELECT *, k > 0 AS known, bad::DOUBLE / greatest(k, 1) AS rate FROM c{i} WHERE n >= 20 AND n >= 0.02::DOUBLE * all_n)",
+            f"m{i} AS MATERIALIZED (SELECT *, lag(rate) OVER w AS r0, lag(bad) OVER w AS b0, lag(k) OVER w AS k0 FROM l{i} WINDOW w AS (PARTITION BY host, template, known ORDER BY rate, s))",
+            f"t{i} AS MATERIALIZED (SELECT *, CASE WHEN known AND r0 IS NOT NULL AND abs(rate - r0) <= 1.96::DOUBLE * sqrt(q * (1 - q) * (1::DOUBLE / k + 1::DOUBLE / k0)) THEN 0 ELSE 1 END AS starts FROM (SELECT *, (bad + b0 + 1)::DOUBLE / (k + k0 + 2) AS q FROM m{i}))",
+            f"b{i} AS MATERIALIZED (SELECT *, sum(starts) OVER (PARTITION BY host, template, known ORDER BY rate, s ROWS UNBOUNDED PRECEDING) AS branch FROM t{i})",
+            f"g{i} AS MATERIALIZED (SELECT host, template, known, branch, count(*) AS c, string_agg(s, '|' ORDER BY s) AS names FROM b{i} GROUP BY ALL)",
+            f"x{i} AS MATERIALIZED (SELECT b.host, b.template, b.s, CASE WHEN g.c > 1 THEN '{{' || g.names || '}}' ELSE b.s END AS name FROM b{i} b JOIN g{i} g ON b.host = g.host AND b.template = g.template AND b.known = g.known AND b.branch = g.branch)",
+            f"p{i + 1} AS MATERIALIZED (SELECT p.host, p.path, p.n, p.k, p.bad, p.seg, p.template AS was, len(p.seg) > {i} AS moved, CASE WHEN len(p.seg) > {i} THEN p.template || '/' || coalesce(x.name, '*') || {past} ELSE p.template END AS template FROM p{i} p LEFT JOIN x{i} x ON x.host = p.host AND x.template = p.template AND x.s = p.seg[{i + 1}])",
+            f"n{i + 1} AS MATERIALIZED (SELECT host, template, n, impurity FROM n{i} UNION ALL SELECT p.host, p.template, sum(p.n), (sum(p.bad) + 5.0::DOUBLE * any_value(d.impurity)) / (sum(p.k) + 5.0::DOUBLE) FROM p{i + 1} p JOIN n{i} d ON d.host = p.host AND d.template = p.was WHERE moved GROUP BY p.host, p.template)",
+        ]
+    out = f"""SELECT page_id, u.host, u.path, rule, coalesce(says, CASE WHEN impurity > 0.5 THEN 'block' ELSE 'allow' END) AS verdict, p.template, impurity
+FROM u JOIN p{depth} p ON u.host = p.host AND u.path = p.path JOIN n{depth} d ON d.host = p.host AND d.template = p.template"""
+    return "WITH " + ",\n".join(steps) + "\n" + out
+
+
+URL_SQL = _url_sql()
