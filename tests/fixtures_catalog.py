@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 
 from treecat import constants as C
 from treecat.functions.geo import box_wkb, point_wkb
-from treecat.sources.archive import HEADER, write_archive
+from treecat.sources.archive import HEADER, archive_bytes
 
 # Boxes (min x, min y, max x, max y).
 PLACES = {
@@ -107,7 +107,7 @@ def placed(t: pa.Table, start: int = HEADER) -> pa.Table:
 
 def write_zip(made: tuple[dict, list[pa.Table]], where: Path) -> str:
     blocks = b"".join(f"block{i:05d}".encode() for i in range(max(map(len, made[1]))))
-    write_archive(str(where), [_bytes(placed(t)) for t in made[1]], json.dumps(made[0]).encode(), blocks)
+    where.write_bytes(archive_bytes([_bytes(placed(t)) for t in made[1]], json.dumps(made[0]).encode(), blocks))
     return str(where)
 
 

@@ -355,6 +355,18 @@ def test_concat_columns(load):
         treecat.concat([a, a.replace(backend="pandas")])
 
 
+def test_written_catalogs_load_again(load, spark, tmp_path):
+    d = load("nested").filter_datetime("2023-01-20/2023-03-31", level=1)
+    again = treecat.load(d.write(str(tmp_path / "n")), spark=spark)
+    assert again.n == 3 and again.levels[1].count() == 6 and again.format == C.PLAIN and again.schema.root["n"] == 3
+    for name in ("parts", "zip"):
+        d = load(name).sql("SELECT * FROM data WHERE id >= 'tile_09'")
+        if name == "zip":
+            d = d.replace(levels={n: df.withColumn(C.SOURCE_FILE, F.lit("deep.tacozip")) for n, df in d.levels.items()}, current=d.current.withColumn(C.SOURCE_FILE, F.lit("deep.tacozip")))
+        again = treecat.load(d.write(str(tmp_path / name)), spark=spark)
+        assert (again.n, again.levels[1].count(), again.levels[2].count(), again.format) == (11, 22, 66, C.CONSOLIDATED)
+
+
 # --- frames --------------------------------------------------------------------------
 
 

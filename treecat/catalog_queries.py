@@ -15,11 +15,16 @@ from . import constants as C
 from .dataset import Dataset, from_levels
 from .functions import geo
 from .functions.paths import subfile, subfile_parts
+from .legacy.container import NAME, POINTER
+from .legacy.sanity import sanity_check
 from .legacy.text import points
+from .loader import load
 from .operators import homogeneity, stats
 from .operators.concat import concat
 from .operators.levels import q, with_pointer, without_padding
 from .operators.ranges import coalesce_ranges, running_offset
+from .sources import files
+from .sources.archive import archive_bytes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -518,6 +523,61 @@ def frame_positions(spark, sf_dir):
     return d.replace(current=d.levels[1]).data.with_position().select(C.ID, "position")
 
 
+# --- catalogs on disk -----------------------------------------------------------------------
+
+
+@query("""
+SELECT 'o' || o_orderkey AS id, o_totalprice, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_mktsegment = 'BUILDING' AND o_totalprice > 100000""")
+def scan_folder(spark, sf_dir):
+    """A selection written as a folder catalog, loaded again, joined by SQL."""
+    d = h2(spark, sf_dir).sql("SELECT * FROM data WHERE c_mktsegment = 'BUILDING'")
+    again = load(d.write(files.scratch(spark, "folder")), spark=spark)
+    return again.sql("""SELECT o.id, o_totalprice, c_mktsegment FROM data d JOIN level1 o ON o."internal:parent_id" = d."internal:current_id" WHERE o_totalprice > 100000""").current
+
+
+@query(f"SELECT 'o' || o_orderkey AS id, 'part' || (o_custkey % 3) AS source, '/vsisubfile/200_10,s3://bucket/x/part' || (o_custkey % 3) AS pointer FROM orders WHERE {_JANUARY.format('o_orderdate')}")
+def scan_consolidated(spark, sf_dir):
+    """A cascade's selection written as a consolidated catalog and loaded with another base path."""
+    d = h3(spark, sf_dir).filter_datetime("1995-01-01/1995-01-10", level=1)
+    again = load(d.write(files.scratch(spark, "parts")), base_path="s3://bucket/x", spark=spark)
+    pointer = F.replace(q(C.GDAL_VSI), F.lit("/vsis3/"), F.lit("s3://"))
+    return again.levels[1].select(C.ID, q(C.SOURCE_FILE).alias("source"), pointer.alias("pointer"))
+
+
+@query("SELECT n_name AS id, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+def scan_archive(spark, sf_dir):
+    """Regions and nations in a single-file archive, read row group by row group."""
+    import io
+    import json
+
+    import pyarrow.parquet as pq
+
+    def level(df: DataFrame) -> bytes:
+        out = io.BytesIO()
+        rows = df.withColumns({C.OFFSET: F.lit(0).cast("long"), C.SIZE: F.lit(1).cast("long")}).drop(C.GDAL_VSI).toArrow()
+        pq.write_table(rows, out, row_group_size=4)
+        return out.getvalue()
+
+    regions = read(spark, sf_dir, "region").select(*_node(C.FOLDER, "r_name", "r_regionkey"))
+    nations = read(spark, sf_dir, "nation").select(*_node(C.FILE, "n_name", "n_nationkey", "n_regionkey"))
+    path = files.scratch(spark, "archive") + ".zip"
+    files.write(spark, path, archive_bytes([level(regions), level(nations)], json.dumps(_document(C.FOLDER, [C.FILE])).encode()))
+    d = load(path, spark=spark)
+    return d.sql("""SELECT n.id, d.id AS region FROM data d JOIN level1 n ON n."internal:parent_id" = d."internal:current_id" """).current
+
+
+@query("SELECT 'o' || o_orderkey AS id, 'ValueError: odd' AS error FROM orders WHERE o_orderkey % 100 = 7")
+def v1_sanity_check(spark, sf_dir):
+    """A user's function over every pointer, in tasks."""
+    rows = read(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias(NAME), F.col("o_orderkey").cast("string").alias(POINTER))
+
+    def check(pointer: str) -> None:
+        if int(pointer) % 100 == 7:
+            raise ValueError("odd")
+
+    return sanity_check(rows, check)
+
+
 # --- byte ranges and legacy ------------------------------------------------------------------
 
 

@@ -234,6 +234,12 @@ class Dataset:
         """Pixel-weighted mean share of each class."""
         return self._stat("categorical", band, level, id, scope)
 
+    def write(self, path: str) -> str:
+        """The selection and all below it as a catalog of its own."""
+        from .sources.export import write_catalog
+
+        return write_catalog(self, path)
+
     # --- lifecycle ---------------------------------------------------------------
 
     def persist(self) -> Dataset:

@@ -142,12 +142,11 @@ def requests(spark: SparkSession, path: str) -> list[list[int]]:
     return plan_ranges(read_header(files.read_range(spark, path, 0, HEADER)))
 
 
-def write_archive(path: str, levels: list[bytes], document: bytes, blocks: bytes = b"") -> None:
-    """A local archive of level tables (Parquet bytes) and the document, ``blocks`` of data between header and tables."""
+def archive_bytes(levels: list[bytes], document: bytes, blocks: bytes = b"") -> bytes:
+    """A small archive: header, ``blocks`` of data, level tables (Parquet bytes), the document."""
     at, entries, out = HEADER + len(blocks), [], []
     for part in [*levels, document]:
         entries.append((at, len(part)))
         out.append(part)
         at += len(part)
-    with open(path, "wb") as f:
-        f.write(b"".join([pack_header(entries), blocks, *out]))
+    return b"".join([pack_header(entries), blocks, *out])

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 from ..errors import StorageError
@@ -49,3 +53,26 @@ def read_range(spark: SparkSession, path: str, offset: int = 0, length: int | No
 
 def join(*parts: str) -> str:
     return "/".join([*(p.rstrip("/") for p in parts[:-1]), parts[-1]])
+
+
+def write(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small new file."""
+    _, where, fs = _open(spark, path)
+    stream = fs.create(where, False)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path not used before, in the folder that all executors share.
+
+    A local session that names none gets one below the temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise StorageError("set spark.checkpoint.dir to a folder that all executors share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
+    return join(base, f"{name}-{uuid.uuid4().hex}")
