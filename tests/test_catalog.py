@@ -392,9 +392,13 @@ def test_frame_operations(load):
     assert [r["id"] for r in f.tail(2).collect()] == ["sample_3", "sample_4"]
     assert [r["id"] for r in f[1:3].collect()] == ["sample_1", "sample_2"]
     assert f["id"].columns == ["id"] and len(f[F.col("cloud_cover") > 20]) == 3 and len(f.query("cloud_cover > 20")) == 3
-    assert [r["id"] for r in f.loc(["sample_4", "sample_0"]).collect()] == ["sample_0", "sample_4"]
+    assert [r["id"] for r in f.loc[["sample_4", "sample_0"]].collect()] == ["sample_0", "sample_4"]
     assert f.sort("cloud_cover", ascending=False).limit(1).df.first()["id"] == "sample_4"
     assert f.with_columns(x=F.lit(1)).df.first()["x"] == 1
+    f["y"] = F.lit(2)
+    assert f.iloc[1].first()["y"] == 2 and f.iloc[3:].count() == 2 and f.loc["sample_1"].count() == 1
+    with pytest.raises(ValueError):
+        f["id"] = F.lit(1)
     with pytest.raises(ValueError):
         f.assign(id=F.lit(1))
     with pytest.raises(KeyError):

@@ -134,15 +134,15 @@ class Dataset:
 
         return self._filter(level, make)
 
-    def filter_datetime(self, when: str | datetime | tuple, time_col: str = "auto", level: int = 0) -> Dataset:
+    def filter_datetime(self, datetime_range: str | datetime | tuple, time_col: str = "auto", level: int = 0) -> Dataset:
         """Samples of a day or a closed range of days; at a deeper level as in :meth:`filter_bbox`."""
-        temporal.parse_range(when)
+        temporal.parse_range(datetime_range)
 
         def make(df: DataFrame):
             column = temporal.time_column(df.columns) if time_col == "auto" else time_col
             if column not in df.columns:
                 raise QueryError(f"level {level} has no column {column!r}")
-            return temporal.in_days(df, column, when)
+            return temporal.in_days(df, column, datetime_range)
 
         return self._filter(level, make)
 

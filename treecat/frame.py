@@ -41,6 +41,14 @@ register_backend("pandas", lambda df: df.toPandas())
 register_backend("polars", _polars)
 
 
+class _Indexer:
+    def __init__(self, get: Callable[[Any], DataFrame]):
+        self._get = get
+
+    def __getitem__(self, key: Any) -> DataFrame:
+        return self._get(key)
+
+
 class Frame:
     def __init__(self, full: DataFrame, visible: Sequence[str], below: dict[int, DataFrame], level: int, backend: str = "arrow", order: Sequence[Column] | None = None):
         self._full, self._visible, self._below = full, list(visible), below
@@ -119,17 +127,33 @@ class Frame:
         joined = ranged.join(F.broadcast(starts), "__part")
         return joined.select((F.col("__start") + F.col("__within")).alias(name), *map(q, self._visible))
 
-    def iloc(self, start: int, stop: int | None = None) -> DataFrame:
+    def rows(self, start: int, stop: int | None = None) -> DataFrame:
         """Rows at positions [start, stop), or the one at ``start``."""
         stop = start + 1 if stop is None else stop
         return self.ordered().offset(start).limit(max(0, stop - start))
 
-    def loc(self, ids: str | Sequence[str]) -> DataFrame:
+    def named(self, ids: str | Sequence[str]) -> DataFrame:
+        """Rows with these ids, in the frame's order."""
         return self._full.where(q(C.ID).isin([ids] if isinstance(ids, str) else list(ids))).orderBy(*self._order).select(*map(q, self._visible))
 
+    @property
+    def iloc(self) -> _Indexer:
+        """``frame.iloc[3]``, ``frame.iloc[2:5]``: rows by position."""
+        return _Indexer(lambda k: self.rows(k.start or 0, len(self) if k.stop is None else k.stop) if isinstance(k, slice) else self.rows(k))
+
+    @property
+    def loc(self) -> _Indexer:
+        """``frame.loc["a"]``, ``frame.loc[["a", "b"]]``: rows by id."""
+        return _Indexer(self.named)
+
+    def __setitem__(self, name: str, value: Column) -> None:
+        """Add or replace a column in place; protected ones cannot be."""
+        changed = self.with_columns(**{name: value})
+        self._full, self._visible = changed._full, changed._visible
+
     def __getitem__(self, key: str | Sequence[str] | slice | Column) -> DataFrame | Frame:
         if isinstance(key, slice):
-            return self.iloc(key.start or 0, len(self) if key.stop is None else key.stop)
+            return self.iloc[key]
         if isinstance(key, Column):
             return self.filter(key)
         return self.select(*([key] if isinstance(key, str) else key))

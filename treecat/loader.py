@@ -10,7 +10,7 @@ from .dataset import Dataset, from_levels
 from .errors import BackendError, QueryError
 from .frame import available_backends
 from .operators.concat import concat
-from .sources import cache, collection
+from .sources import cache as disk_cache, collection
 from .sources.backends import create_backend
 from .sources.detect import detect, refuse_legacy
 
@@ -28,17 +28,18 @@ def get_backend() -> str:
     return _settings["backend"]
 
 
-def load(path: str | Sequence[str], base_path: str | None = None, backend: str | None = None, persist: bool = False, spark: SparkSession | None = None) -> Dataset:
+def load(path: str | Sequence[str], base_path: str | None = None, backend: str | None = None, cache: bool = True, persist: bool = False, spark: SparkSession | None = None) -> Dataset:
     """A catalog in any layout; a list is loaded one by one and concatenated.
 
     ``base_path`` says where the archives of a consolidated catalog are, if not
-    beside it. With ``persist`` the level tables stay cached once read.
+    beside it. Without ``cache`` the collection document is read anew; with
+    ``persist`` the level tables stay cached once read.
     """
     if not isinstance(path, str):
         paths = list(path)
         if not paths:
             raise QueryError("there is no path to load")
-        found = [load(p, base_path, backend, persist, spark) for p in paths]
+        found = [load(p, base_path, backend, cache, persist, spark) for p in paths]
         return found[0] if len(found) == 1 else concat(found)
     refuse_legacy(path)
     backend = backend or _settings["backend"]
@@ -46,6 +47,8 @@ def load(path: str | Sequence[str], base_path: str | None = None, backend: str |
         raise BackendError(f"{backend!r} is not one of {available_backends()}")
     spark = spark or SparkSession.builder.getOrCreate()
     kind, where = detect(spark, path)
+    if not cache:
+        collection.forget()
     source = create_backend(kind)
     root = source.root(where, base_path)
     document, raw = source.scan(spark, where)
@@ -56,4 +59,4 @@ def load(path: str | Sequence[str], base_path: str | None = None, backend: str |
 def clear_cache() -> None:
     """Forget collection documents and the disk cache."""
     collection.forget()
-    cache.clear()
+    disk_cache.clear()
