@@ -29,8 +29,8 @@ def where(tmp_path_factory):
         "flat": fx.write_folder(fx.flat(), base / "flat"),
         "nested": fx.write_folder(fx.nested(), base / "nested"),
         "deep": fx.write_folder(fx.deep(), base / "deep"),
-        "zip": fx.write_zip(fx.deep(), base / "deep.tacozip"),
-        "parts": fx.write_consolidated({"a.tacozip": fx.deep(range(10)), "b.tacozip": fx.deep(range(10, 20))}, base / "parts"),
+        "zip": fx.write_zip(fx.deep(), base / "deep.zip"),
+        "parts": fx.write_consolidated({"a.zip": fx.deep(range(10)), "b.zip": fx.deep(range(10, 20))}, base / "parts"),
     }
 
 
@@ -104,7 +104,7 @@ def test_pointers_lead_to_bytes(spark, load, where):
         f.seek(offset)
         assert f.read(size) == b"block00007"
     moved = load("parts", base_path="s3://bucket/data").levels[0].select(q(C.GDAL_VSI)).first()[0]
-    assert moved.endswith(",/vsis3/bucket/data/a.tacozip") or moved.endswith(",/vsis3/bucket/data/b.tacozip")
+    assert moved.endswith(",/vsis3/bucket/data/a.zip") or moved.endswith(",/vsis3/bucket/data/b.zip")
     got = {r["id"]: r[C.GDAL_VSI] for r in load("nested").levels[0].collect()}
     assert got["europe"] == where["nested"] + "/DATA/europe/__meta__"
     got = load("deep").levels[1].select(q(C.GDAL_VSI)).where(q(C.CURRENT_ID) == 0).first()[0]
@@ -250,7 +250,7 @@ def test_cascade_over_parts_uses_the_source(load):
     d = d.filter_datetime("2023-01-04")
     assert ids(d) == ["tile_03"]
     kids = d.data_raw.read("tile_03")
-    assert len(kids) == 2 and {r["internal:source_file"] for r in kids.df.collect()} == {"a.tacozip"}
+    assert len(kids) == 2 and {r["internal:source_file"] for r in kids.df.collect()} == {"a.zip"}
     assert len(d.data_raw.children().children()) == 6
 
 
@@ -362,7 +362,7 @@ def test_written_catalogs_load_again(load, spark, tmp_path):
     for name in ("parts", "zip"):
         d = load(name).sql("SELECT * FROM data WHERE id >= 'tile_09'")
         if name == "zip":
-            d = d.replace(levels={n: df.withColumn(C.SOURCE_FILE, F.lit("deep.tacozip")) for n, df in d.levels.items()}, current=d.current.withColumn(C.SOURCE_FILE, F.lit("deep.tacozip")))
+            d = d.replace(levels={n: df.withColumn(C.SOURCE_FILE, F.lit("deep.zip")) for n, df in d.levels.items()}, current=d.current.withColumn(C.SOURCE_FILE, F.lit("deep.zip")))
         again = treecat.load(d.write(str(tmp_path / name)), spark=spark)
         assert (again.n, again.levels[1].count(), again.levels[2].count(), again.format) == (11, 22, 66, C.CONSOLIDATED)
 

@@ -132,10 +132,10 @@ def padding_filter(spark, sf_dir):
     return without_padding(ids.union(pads))
 
 
-@query("SELECT o_orderkey, '/vsisubfile/' || (o_orderkey * 100) || '_' || 100 || ',/data/a.tacozip' AS pointer FROM orders")
+@query("SELECT o_orderkey, '/vsisubfile/' || (o_orderkey * 100) || '_' || 100 || ',/data/a.zip' AS pointer FROM orders")
 def vsi_pointer_archive(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") * 100).alias(C.OFFSET), F.lit(100).alias(C.SIZE))
-    return with_pointer(rows, C.ARCHIVE, "/data/a.tacozip", 0).select("o_orderkey", q(C.GDAL_VSI).alias("pointer"))
+    return with_pointer(rows, C.ARCHIVE, "/data/a.zip", 0).select("o_orderkey", q(C.GDAL_VSI).alias("pointer"))
 
 
 @query("""

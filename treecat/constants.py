@@ -33,12 +33,12 @@ NAVIGATION = {
     CONSOLIDATED: {ID, TYPE, CURRENT_ID, OFFSET, SIZE, SOURCE_FILE},
 }
 NAVIGATION_TEXT = {
-    ID: "Unique sample identifier",
-    TYPE: "Sample type (FILE or FOLDER)",
-    CURRENT_ID: "Row position (int64) for parent-child JOIN relationships",
-    OFFSET: "Byte offset in archive file",
-    SIZE: "Byte size of sample data",
-    SOURCE_FILE: "Source ZIP filename within TacoCat",
+    ID: "the sample's name among its siblings",
+    TYPE: "FILE or FOLDER",
+    CURRENT_ID: "row number in the level; children refer to it",
+    OFFSET: "first byte in the archive",
+    SIZE: "bytes in the archive",
+    SOURCE_FILE: "which archive of a consolidated catalog",
 }
 CRITICAL_ROOT = {ARCHIVE: {ID, TYPE, OFFSET, SIZE}, PLAIN: {ID, TYPE}, CONSOLIDATED: {ID, TYPE, OFFSET, SIZE}}
 CRITICAL_DEEPER = {
