@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import new_folder, small_batches, table
+from ._shared import cut, new_folder, small_batches, table
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -205,17 +205,20 @@ def with_payload(records: DataFrame) -> DataFrame:
     return records.mapInArrow(add, schema)
 
 
-def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 100) -> None:
+def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 100, most_broadcast: int = 200_000) -> None:
     """Convert every ARC file below ``arc_path`` to WARC files.
 
     Of records with equal payloads of ``least_bytes`` or more, those with the
     smallest page_id become responses and the others revisits of it. Only
-    digests and ids are shuffled to find the repeats; a payload moves once, to
-    meet that finding, in a join that AQE splits when one payload is hot.
+    digests and ids are shuffled to find the repeats. Up to ``most_broadcast``
+    repeated digests are broadcast, and no payload moves; beyond that a
+    payload moves once, in a join that AQE splits when one payload is hot.
     """
     records = with_payload(read_arc(spark, arc_path))
     repeats = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
     repeats = repeats.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeats = cut(repeats, "repeats")
+    repeats = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
     marked = records.join(repeats, "payload_digest", "left")
     marked = marked.select("url", "ip", "archived", "block", "page_id", "payload_bytes", "payload_digest", "first_id")
 
