@@ -19,8 +19,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The component is the smallest node reachable. Self-loops, repeated edges,
     either direction and null ends (ignored) are all allowed; nodes without an
     edge have no row. No neighbour list is ever gathered: minima come from
-    partially aggregated groups and return by joins, which AQE splits when a
-    hub is hot. Each round is written to the shared folder.
+    partially aggregated groups and return by joins. Edges and minima are
+    written to the shared folder in each round, so both sides of a join are
+    plain shuffles, which AQE splits when a hub is hot.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = cut(edges, "edges")
@@ -29,10 +30,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = cut(large.where("u <> v").distinct(), "edges")
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _summary(edges)
