@@ -125,6 +125,10 @@ def test_drop_keeps_one_of_each_group(docs):
     assert left.columns == docs(rows, extra=True).columns
     assert sorted(r["doc_id"] for r in left.collect()) == [1, 2, 8]
     assert drop_near_duplicates(docs([(1, a), (1, a), (1, b)])).count() == 2
+    unique = docs([(3, a), (1, a), (2, b), (7, b.upper()), (9, None), (8, "")], extra=True)
+    for most in (0, 10):
+        left = drop_near_duplicates(unique, most_broadcast=most)
+        assert left.columns == unique.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 8]
 
 
 def test_components_of_chains_and_stars(spark):

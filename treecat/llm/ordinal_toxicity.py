@@ -4,7 +4,8 @@ P(severity <= k) is the logistic function of threshold_k minus a score that
 all thresholds share. Labels say toxic or not; a toxic document's grade (1 to
 ``GRADES`` - 1) is the third it falls into by how many of its words stand out
 in toxic documents. The features are the words whose presence depends most on
-the label, found by counts over the labelled sample.
+the label, and stems (first bytes) of words, so that an unseen form of a known
+word counts too; they are found by counts over the labelled sample.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +27,15 @@ from .labelled import held_out_fold, labelled_sample
 GRADES = 4
 
 
-def feature_words(text: str | None) -> list[bytes]:
-    """Folded words; one over 64 bytes stands as its hash, so that a feature's name is bounded."""
-    return [w if len(w) <= 64 else xxhash.xxh64_hexdigest(w).encode() for w in words(text)]
+#: Words share features by their first so many bytes.
+STEMS = (4, 5, 6)
+_CACHE = 200_000
+
+
+def feature_names(word: bytes) -> list[bytes]:
+    """The word itself (its hash, if over 64 bytes, so that a name is bounded) and ``^`` with each of its stems."""
+    own = word if len(word) <= 64 else xxhash.xxh64_hexdigest(word).encode()
+    return [own, *(b"^" + word[:k] for k in STEMS if len(word) >= k)]
 
 
 @dataclass(frozen=True)
@@ -36,26 +44,36 @@ class OrdinalModel:
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def features(self, text: str | None) -> tuple[list[int], list[float]]:
-        get = self.vocabulary.get
-        counts = Counter(i for w in feature_words(text) if (i := get(w)) is not None)
-        return list(counts), [1 + np.log(n) for n in counts.values()]
-
-    def above(self, texts: list) -> np.ndarray:
+    def features(self, text: str | None, cache: dict[bytes, tuple[int, ...]]) -> tuple[list[int], list[float]]:
+        """(numbers, values) of a text's features: 1 + log(occurrences). ``cache`` keeps words' feature numbers."""
+        counts: dict[int, int] = {}
+        for word, n in Counter(words(text)).items():
+            at = cache.get(word)
+            if at is None:
+                at = tuple(self.vocabulary[f] for f in feature_names(word) if f in self.vocabulary)
+                if len(cache) < _CACHE and len(word) <= 64:
+                    cache[word] = at
+            for i in at:
+                counts[i] = counts.get(i, 0) + n
+        return list(counts), [1 + log(n) for n in counts.values()]
+
+    def above(self, texts: list, cache: dict | None = None) -> np.ndarray:
         """P(severity >= k) for k = 1 ... GRADES - 1, a row per text."""
-        score = np.zeros(len(texts))
+        score, cache = np.zeros(len(texts)), {} if cache is None else cache
         for n, text in enumerate(texts):
-            at, values = self.features(text)
+            at, values = self.features(text, cache)
             score[n] = float(self.weights[at] @ np.array(values)) if at else 0.0
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def learn_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 300, l2: float = 2e-4, rate: float = 0.05) -> tuple[np.ndarray, np.ndarray]:
+def learn_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 400, l2: float = 5e-5, rate: float = 0.1, toxic_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """(weights, thresholds) by Adam on the mean negative log likelihood; sparse features as (row, column, value).
 
-    Thresholds stay in order: the first is free, each next adds an exponential.
+    Documents of grade 1 or more count ``toxic_weight`` times, for when missing one
+    costs more than a false alarm does. Thresholds stay in order: the first is free, each next adds an exponential.
     """
-    n = len(grade)
+    n, weight = len(grade), np.where(grade > 0, toxic_weight, 1.0)
+    weight = weight / weight.sum()
     p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(GRADES - 2)])
     m, s = np.zeros_like(p), np.zeros_like(p)
     for t in range(1, rounds + 1):
@@ -66,9 +84,9 @@ def learn_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade:
         at = np.arange(n)
         like = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
         slope = np.concatenate([np.zeros((n, 1)), f * (1 - f), np.zeros((n, 1))], axis=1)
-        hi, lo = slope[at, grade + 1] / like, slope[at, grade] / like
-        by_score = (hi - lo) / n  # of the negative log likelihood
-        by_theta = np.array([(lo[grade == k].sum() - hi[grade == k - 1].sum()) / n for k in range(1, GRADES)])
+        hi, lo = weight * slope[at, grade + 1] / like, weight * slope[at, grade] / like
+        by_score = hi - lo  # of the negative log likelihood
+        by_theta = np.array([lo[grade == k].sum() - hi[grade == k - 1].sum() for k in range(1, GRADES)])
         tail = np.cumsum(by_theta[::-1])[::-1]
         g = np.concatenate([np.bincount(cols, values * by_score[rows], n_features) + l2 * w, tail[:1], tail[1:] * np.exp(p[n_features + 1 :])])
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
@@ -76,7 +94,7 @@ def learn_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade:
     return p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])]))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, most_labelled: int = 20_000, most_features: int = 4096) -> OrdinalModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, most_labelled: int = 20_000, most_features: int = 4096, least_chi: float = 15.0) -> OrdinalModel:
     """Learn from at most ``most_labelled`` labelled documents and ``most_features`` words.
 
     Without a toxic label there are no features and nothing is toxic.
@@ -87,7 +105,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for y, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-                found = list(set(feature_words(text)))
+                found = list({f for w in set(words(text)) for f in feature_names(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], names=["word", "label"])
 
     n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
@@ -96,15 +114,16 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
     # chi-square of word presence against the label
     expected = F.col("df") * float(n["bad"] / max(1, n["n"]))
     chi = (F.col("bad") - expected) ** 2 / F.greatest(expected * (1 - F.col("df") / float(max(1, n["n"]) + 1)), F.lit(1e-9))
-    top = seen.withColumn("chi", F.round(chi, 9)).where("chi > 4").orderBy(F.desc("chi"), "word").limit(most_features).collect() if n["bad"] else []
+    top = seen.withColumn("chi", F.round(chi, 9)).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "word").limit(most_features).collect() if n["bad"] else []
     vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
     if not vocabulary:
         return OrdinalModel({}, np.zeros(0), np.array([20.0 + k for k in range(GRADES - 1)]))
     blank = OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES - 1))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for b in batches:
-            found = [blank.features(t) for t in b.column("text").to_pylist()]
+            found = [blank.features(t, cache) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("label"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
                 names=["doc_id", "label", "at", "value"],
@@ -138,8 +157,9 @@ def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for b in batches:
-            above = shared.value.above(b.column("text").to_pylist())
+            above = shared.value.above(b.column("text").to_pylist(), cache)
             edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             toxic = above[:, 0] >= 0.5
             new = [pa.array(above.sum(axis=1), pa.float64()), pa.array((edge[:, :-1] - edge[:, 1:]).argmax(axis=1), pa.int32()), pa.array(toxic, pa.bool_())]

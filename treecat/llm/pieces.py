@@ -153,6 +153,8 @@ class PieceModel:
 
     def _spelled(self, word: str, pieces: list[int]) -> list[int] | None:
         """Ids with byte pieces put in; None if the pieces do not spell the word."""
+        if -1 not in pieces:
+            return pieces if "".join(map(self.strings.__getitem__, pieces)) == word else None
         out, at = [], 0
         for p in pieces:
             if p >= 0:
