@@ -139,6 +139,24 @@ def test_pieces_through_spark(spark, docs, odd_rows):
     assert ps.encode_pieces(docs([])).count() == 0
 
 
+def test_ids_are_those_of_the_library(spark, docs, odd_rows):
+    """A BPE model merges by rank: the ids of every text without a literal space mark are sentencepiece's own."""
+    import sentencepiece
+
+    rng = random.Random(4)
+    texts = ["the and that for with", " the  and   that\n for", "a" * 300, " " * 40, "x" * 20_000, "naïve café 日本語 🙂\t\u3000ﬁ"]
+    texts += [t for _, t in odd_rows if t and "▁" not in t]
+    texts += ["".join(rng.choice("abcetaoinshr étheing \n日🙂") for _ in range(rng.randrange(1, 120))) for _ in range(500)]
+    library = sentencepiece.SentencePieceProcessor(model_file=ps.MODEL)
+    found = ps.encode_pieces(docs(list(enumerate(texts)))).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r["piece_ids"] == library.encode(r["text"]) and r["round_trip"], r["text"][:80]
+    merged = ps.PieceModel(ps.read_model(ps.MODEL), ps.is_bpe(ps.MODEL))
+    made = sorted({w for t in texts for w in t.split(" ") if 0 < len(w) <= ps.LONG and "\n" not in w})
+    assert merged.encode_words(made) == [merged._spelled(w, merged.plain(w)) for w in made]
+
+
 def test_models_that_cannot_work():
     byte = [(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)]
     with pytest.raises(ValueError):

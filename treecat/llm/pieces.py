@@ -1,11 +1,16 @@
-"""SentencePiece encoding and decoding by a batched numpy Viterbi search.
+"""SentencePiece encoding and decoding, batched in numpy, by the search that the model file calls for.
 
-The best segmentation of a text is the one whose pieces' scores sum highest.
-No piece has a space after another character, so the search runs word by word
+In a unigram model the best segmentation of a text is the one whose pieces'
+scores sum highest: a Viterbi search. In a BPE model scores are merge ranks, so
+the sum says nothing; its encoding comes from merging the neighbours whose
+union has the highest score, the leftmost in a tie, until none is a piece.
+No piece has a space after another character, so both run word by word
 (a word keeps the spaces before it), once for each distinct word of a batch.
 Words of equal length advance together: the hashes of all their substrings
 that end at a position probe the sorted piece hashes, vectorised maxima keep
 the best sum and the piece that led to it. In a tie the longer last piece wins.
+Merging takes one merge of every such word a round and asks the same hashes for
+the two pairs that each merge makes.
 
 A character without a piece costs the lowest score less 10 and becomes byte
 pieces. Spaces stand for the model's space mark, so that a mark in the text
@@ -16,6 +21,7 @@ word is then searched by plain dictionary look-ups.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -32,6 +38,8 @@ PENALTY = 10.0
 _WORD = re.compile(r" *[^ \n]+| +|\n")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Tells substrings of different lengths apart in one table.
+_LENGTH = np.uint64(0xD6E8FEB86659FD93)
 #: Words above this length are searched alone.
 LONG = 48
 _CACHE = 200_000
@@ -49,6 +57,18 @@ def read_model(path: str) -> list[tuple[str, float, str]]:
     return [(sp.id_to_piece(i), sp.get_score(i), kind(i)) for i in range(sp.get_piece_size())]
 
 
+def is_bpe(path: str) -> bool:
+    """Whether the model file says that its scores are merge ranks."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    spec = sentencepiece_model_pb2.ModelProto.FromString(sp.serialized_model_proto()).trainer_spec
+    if spec.model_type == spec.BPE and any(sp.is_unused(i) for i in range(sp.get_piece_size())):
+        raise ValueError("unused pieces, which merges take apart again, are not supported")
+    return spec.model_type == spec.BPE
+
+
 def _powers(base: np.uint64, n: int) -> np.ndarray:
     out = np.ones(n, np.uint64)
     with np.errstate(over="ignore"):
@@ -57,7 +77,10 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class PieceModel:
-    def __init__(self, pieces: list[tuple[str, float, str]]):
+    """Encoder of the pieces; by merges if ``merges``, else by the highest sum of scores."""
+
+    def __init__(self, pieces: list[tuple[str, float, str]], merges: bool = False):
+        self.merges = merges
         self.texts: list[bytes] = []
         self.strings: dict[int, str] = {}
         self.bytes_id = np.full(256, -1, np.int64)
@@ -70,7 +93,7 @@ class PieceModel:
             elif kind == "normal":
                 text = piece.replace(MARK, " ")
                 self.texts.append(text.encode())
-                if score > NEVER and text:
+                if text and (merges or score > NEVER):
                     self.scores[text] = (score, i)
                     self.strings[i] = text
             else:
@@ -91,6 +114,13 @@ class PieceModel:
             may_be[(hashes >> _FILTER_SHIFT).astype(np.int64)] = True
             self.tables[n] = hashes[order], np.array([s for s, _ in found]), np.array([i for _, i in found]), may_be
         self.longest = max(self.tables, default=1)
+        if merges:  # one table of all lengths, as the pairs of a round differ in theirs
+            parts = [(h + np.array([n], np.uint64) * _LENGTH, s, i) for n, (h, s, i, _) in self.tables.items()]
+            keys, scores, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(3))
+            order = np.argsort(keys)
+            may_be = np.zeros(1 << _FILTER_BITS, bool)
+            may_be[(keys >> _FILTER_SHIFT).astype(np.int64)] = True
+            self.all = keys[order], -scores[order].astype(np.float32), ids[order].astype(np.int32), may_be
 
     def _match(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, score, id) of those of the hashes that are pieces of n characters."""
@@ -133,8 +163,80 @@ class PieceModel:
             alive = alive[at[alive] > 0]
         return [x[::-1] for x in out]
 
+    def _equal_length_merged(self, words: list[str]) -> list[list[int]]:
+        """As ``_equal_length``, by merges: each round makes the first merge of every word that has one left."""
+        m, size = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64)
+        sums = np.zeros((m, size + 1), np.uint64)
+        np.cumsum((codes + np.uint64(1)) * _powers(_BASE, size), axis=1, out=sums[:, 1:])
+        back = _powers(_INVERSE, size + 1)
+        keys, costs, ids, may_be = self.all
+
+        def look(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Cost and id of the piece that the characters [a, b) of each row make; infinite and -1 without one."""
+            asked = (sums[row, b] - sums[row, a]) * back[a] + (b - a).astype(np.uint64) * _LENGTH
+            cost, piece = np.full(len(row), np.inf, np.float32), np.full(len(row), -1, np.int32)
+            at = np.flatnonzero(may_be[(asked >> _FILTER_SHIFT).astype(np.int64)])
+            place = np.minimum(np.searchsorted(keys, asked[at]), len(keys) - 1)
+            same = keys[place] == asked[at]
+            cost[at[same]], piece[at[same]] = costs[place[same]], ids[place[same]]
+            return cost, piece
+
+        row, at = np.repeat(np.arange(m), size), np.tile(np.arange(size), m)
+        piece = look(row, at, at + 1)[1].reshape(m, size)
+        alive = np.ones((m, size), bool)
+        after = np.tile(np.arange(1, size + 1), (m, 1))
+        before = after - 2
+        cost, union = np.full((m, size), np.inf, np.float32), np.full((m, size), -1, np.int32)
+        inner = at + 1 < size
+        cost[row[inner], at[inner]], union[row[inner], at[inner]] = look(row[inner], at[inner], at[inner] + 2)
+        row = np.arange(m)
+        while len(row):
+            a = cost[row].argmin(axis=1)
+            going = cost[row, a] < np.inf
+            row, a = row[going], a[going]
+            b = after[row, a]
+            end = after[row, b] if len(row) else b
+            piece[row, a], alive[row, b], cost[row, b], cost[row, a] = union[row, a], False, np.inf, np.inf
+            after[row, a] = end
+            more = end < size
+            r, left, right = row[more], a[more], end[more]
+            before[r, right] = left
+            cost[r, left], union[r, left] = look(r, left, after[r, right])
+            more = before[row, a] >= 0
+            r, left = row[more], before[row, a][more]
+            cost[r, left], union[r, left] = look(r, left, end[more])
+        flat, ends = piece[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
+        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+
+    def _plain_merged(self, word: str) -> list[int]:
+        """The merges of one word of any length, from a heap of pairs."""
+        n = len(word)
+        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
+        heap: list[tuple[float, int, int]] = []
+
+        def push(a: int, end: int) -> None:
+            if end - a <= self.longest and (found := self.scores.get(word[a:end])):
+                heapq.heappush(heap, (-found[0], a, end))
+
+        for i in range(n - 1):
+            push(i, i + 2)
+        while heap:
+            _, a, end = heapq.heappop(heap)
+            if not alive[a] or (b := after[a]) >= n or after[b] != end:
+                continue  # one of the pair has been merged since
+            alive[b], after[a] = False, end
+            if end < n:
+                before[end] = a
+                push(a, after[end])
+            if before[a] >= 0:
+                push(before[a], end)
+        return [self.scores.get(word[i : after[i]], (0.0, -1))[1] for i in range(n) if alive[i]]
+
     def plain(self, word: str) -> list[int]:
         """The same search for one word of any length, by dictionary look-ups."""
+        if self.merges:
+            return self._plain_merged(word)
         best, taken, which = [0.0], [0], [-1]
         for j in range(1, len(word) + 1):
             top, size, piece = -np.inf, 1, -1
@@ -178,8 +280,9 @@ class PieceModel:
                 for i in at:
                     found[i] = self._spelled(words[i], self.plain(words[i]))
                 continue
-            for part in np.array_split(at, -(-len(at) // 50_000)):
-                for i, pieces in zip(part.tolist(), self._equal_length([words[i] for i in part])):
+            search, rows = (self._equal_length_merged, 10_000) if self.merges else (self._equal_length, 50_000)
+            for part in np.array_split(at, -(-len(at) // rows)):
+                for i, pieces in zip(part.tolist(), search([words[i] for i in part])):
                     found[i] = self._spelled(words[i], pieces)
         return [self._spelled(w, self.plain(w)) if x is None else x for w, x in zip(words, found)]
 
@@ -216,17 +319,19 @@ class PieceModel:
 def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ``piece_ids array<int>, n_pieces int, round_trip boolean`` (replaced if there).
 
+    The ids are those of the library's ``encode``, except that a literal space
+    mark takes byte pieces; a BPE model is searched by merges, others by Viterbi.
     ``round_trip`` says whether decoding gives back the text, a null as "".
     """
     spark = docs.sparkSession
     small_batches(spark)
-    shared = spark.sparkContext.broadcast(read_model(model))  # the tokenizer's own pieces: a bounded table
+    shared = spark.sparkContext.broadcast((read_model(model), is_bpe(model)))  # the tokenizer's own pieces: a bounded table
     added = {"piece_ids": "array<int>", "n_pieces": "int", "round_trip": "boolean"}
     docs = docs.drop(*(c for c in added if c != text))
     schema = docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added.items())).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = PieceModel(shared.value), {}
+        pieces, cache = PieceModel(*shared.value), {}
         for b in batches:
             texts = b.column(text).to_pylist()
             ids = pieces.encode(texts, cache)
