@@ -65,3 +65,26 @@ def test_pipeline_over_empty_documents(spark, tables, tmp_path):
         df = spark.read.parquet(f"{base}/{t}.parquet")
         (df.limit(0) if t == "documents" else df).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_go(spark):
+    """Texts with one word in 60 or in 40 changed (J of some 0.84 and 0.8) go, those of 0.7 stay, as a plain comparison says."""
+    rng, rows = random.Random(12), []
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    for i in range(60):
+        words = fresh(240)
+        rows.append(words)
+        for k in (4, 5, 8):
+            copy = list(words)
+            for j in range(k):
+                copy[(2 * j + 1) * 240 // (2 * k)] = "changed"
+            rows.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                label = [label[j] if x == label[i] else x for x in label] if label[j] < label[i] else [label[i] if x == label[j] else x for x in label]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert left == set(label) and 60 < len(left) < len(rows)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import cut, lower_bytes, small_batches
 from .components import connected_components
+from .set_similarity import set_components, with_set_digest, with_sets
 
 BITS = 64
 #: Shingles whose bits are counted at once, so that a very long text takes bounded memory.
@@ -225,23 +226,26 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, radius: int = 4, most_broadcast: int = 1_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one row per such id.
 
-    All columns stay. Rows that repeat a doc_id with a text of the same
-    component count as one document: the one with the smallest text stays.
+    Documents link where the Jaccard similarity of their word shingles is at
+    least ``similarity``, whatever their fingerprints: at 0.8 those lie some ten
+    bits apart, too far for blocks. All columns stay. Rows that repeat a doc_id
+    with a text of the same component count as one document: the one with the
+    smallest text stays.
 
     Where ids are unique, the ids that go are taken out by an anti-join; up to
     ``most_broadcast`` of them are broadcast, and then no text is shuffled.
     """
     columns = docs.columns
-    marked = with_fingerprint(docs, name="__fp")
-    prints = cut(marked.select("doc_id", F.col("__fp").alias("fp")), "fingerprints")
-    stay = fingerprint_components(prints, radius)
+    prints = cut(with_sets(docs, shingle), "sets")
+    stay = set_components(prints, similarity)
     if not prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
-        gone = cut(prints.join(stay, "fp").where("doc_id <> component_id").select("doc_id"), "gone")
+        gone = cut(prints.select("doc_id", "fp").join(stay, "fp").where("doc_id <> component_id").select("doc_id"), "gone")
         gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
         return docs.join(gone, "doc_id", "left_anti").select(*columns)
+    marked = with_set_digest(docs, shingle, name="__fp")
     stay = stay.withColumnsRenamed({"fp": "__fp", "component": "__component", "component_id": "__id"})
     order = Window.partitionBy("doc_id", "__component").orderBy("text")
     kept = marked.join(stay, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
