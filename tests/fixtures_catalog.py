@@ -1,4 +1,9 @@
-"""Small catalogs made from scratch: flat, nested, deep and cascade, in the layouts this library reads."""
+"""Made-up marine catalogs in the layouts this library reads.
+
+``buoys`` is one level of files, ``rivers`` has folders with unequally many
+gauges, ``cruises`` has three levels: cruise, station, cast. Positions, days and
+measurements follow from the row's number, so tests can work their answers out.
+"""
 
 from __future__ import annotations
 
@@ -14,22 +19,25 @@ from treecat import constants as C
 from treecat.functions.geo import box_wkb, point_wkb
 from treecat.sources.archive import HEADER, archive_bytes
 
-# Boxes (min x, min y, max x, max y).
-PLACES = {
-    "valencia": (-0.45, 39.4, -0.3, 39.55), "paris": (2.2, 48.8, 2.45, 48.92), "nyc": (-74.1, 40.6, -73.85, 40.85), "tokyo": (139.6, 35.6, 139.85, 35.8),
-    "lima": (-77.1, -12.15, -76.95, -12.0), "berlin": (13.3, 52.4, 13.5, 52.6), "shanghai": (121.4, 31.1, 121.6, 31.3), "sydney": (151.1, -33.95, 151.3, -33.8),
-}
 BOX, CENTRE, TIME, SHAPE, STATS = "istac:geometry", "istac:centroid", "istac:time_start", C.SHAPE_COLUMN, C.STATS_COLUMNS[0]
 TYPES = {BOX: pa.binary(), CENTRE: pa.binary(), TIME: pa.timestamp("us"), SHAPE: pa.list_(pa.int64()), STATS: pa.list_(pa.list_(pa.float32())), C.CURRENT_ID: pa.int64(), C.PARENT_ID: pa.int64(), C.OFFSET: pa.int64(), C.SIZE: pa.int64()}
 
 
 def day(n: int) -> datetime:
-    return datetime(2023, 1, 1) + timedelta(days=n)
+    return datetime(2021, 6, 1) + timedelta(days=n)
+
+
+def spot(n: int) -> tuple[float, float]:
+    """The n-th position: a straight course to the north-east, from 30 W 10 S."""
+    return 12.0 * n - 30, 5.0 * n - 10
+
 
+def around(x: float, y: float, half: float = 0.25) -> tuple[float, float, float, float]:
+    return x - half, y - half, x + half, y + half
 
-def place(name: str) -> dict:
-    x0, y0, x1, y1 = PLACES[name]
-    return {BOX: box_wkb(x0, y0, x1, y1), CENTRE: point_wkb((x0 + x1) / 2, (y0 + y1) / 2), "location": name}
+
+def placed_at(n: int) -> dict:
+    return {BOX: box_wkb(*around(*spot(n))), CENTRE: point_wkb(*spot(n))}
 
 
 def table(rows: list[dict]) -> pa.Table:
@@ -39,51 +47,62 @@ def table(rows: list[dict]) -> pa.Table:
 
 def document(root: str, n: int, hierarchy: dict, name: str) -> dict:
     return {
-        "id": name, "dataset_version": "1.0.0", "description": f"{name} test catalog", "tasks": ["classification"], "licenses": ["CC-BY-4.0"],
-        "extent": {"spatial": [-180, -90, 180, 90], "temporal": ["2023-01-01", "2023-12-31"]}, "keywords": ["test"], "title": name,
+        "id": name, "dataset_version": "0.3.1", "description": f"{name}, made up", "tasks": ["regression"], "licenses": ["CC0-1.0"], "title": name,
+        "extent": {"spatial": [-31, -11, 120, 60], "temporal": ["2021-06-01", "2021-12-31"]}, "keywords": ["sea"],
         C.TREE_KEY: {"root": {"n": n, "type": root}, "hierarchy": hierarchy}, C.FIELDS_KEY: {"level0": [["id", "string", ""]]},
     }
 
 
-def cell(mean: float, std: float = 10.0) -> list[float]:
-    return [mean - 50, mean + 50, mean, std, 100.0, mean - 5, mean, mean + 5, mean + 20]
+def cell(mean: float, std: float = 3.0) -> list[float]:
+    """min, max, mean, std, valid share, percentiles 25, 50, 75, 95."""
+    return [mean - 12, mean + 14, mean, std, 98.0, mean - 2, mean + 0.5, mean + 3, mean + 9]
+
+
+BUOYS = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
 
 
-def flat() -> tuple[dict, list[pa.Table]]:
+def buoys() -> tuple[dict, list[pa.Table]]:
     rows = [
-        {C.ID: f"sample_{i}", C.TYPE: C.FILE, **place(p), TIME: day(30 * i), "cloud_cover": i * 15.0, SHAPE: [3, 256, 256], STATS: [cell(100 + i), cell(50 + i)], C.CURRENT_ID: i, C.PARENT_ID: i}
-        for i, p in enumerate(("valencia", "paris", "nyc", "tokyo", "lima"))
+        {C.ID: f"buoy_{b}", C.TYPE: C.FILE, **placed_at(i), TIME: day(17 * i), "depth_m": 40.0 + 7 * i, "owner": "port" if i % 2 else "navy", SHAPE: [1, 20, 10 * (i + 1)], STATS: [cell(8.0 + i), cell(30.0 - 2 * i)], C.CURRENT_ID: i, C.PARENT_ID: i}
+        for i, b in enumerate(BUOYS)
     ]
-    return document(C.FILE, 5, {}, "flat"), [table(rows)]
-
-
-def nested() -> tuple[dict, list[pa.Table]]:
-    groups = {"europe": ("valencia", "paris", "berlin"), "americas": ("nyc", "lima", "nyc"), "asia": ("tokyo", "shanghai", "sydney")}
-    top, items = [], []
-    for g, (name, where) in enumerate(groups.items()):
-        boxes = [PLACES[p] for p in where]
-        union = (min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes))
-        top.append({C.ID: name, C.TYPE: C.FOLDER, BOX: box_wkb(*union), TIME: day(0), "region": name, C.CURRENT_ID: g, C.PARENT_ID: g})
-        for j, p in enumerate(where):
-            mixed = name == "asia" and j == 1
-            stats = [[0.6, 0.3, 0.1]] if name == "europe" or mixed else [cell(80.0 + j)]
-            items.append({C.ID: f"item_{j}", C.TYPE: C.FILE, **place(p), TIME: day(30 * j), "cloud_cover": j * 20.0 + 5, SHAPE: [3, 512, 512], STATS: stats, C.CURRENT_ID: 3 * g + j, C.PARENT_ID: g, C.RELATIVE_PATH: f"{name}/item_{j}"})
-    shape = {"1": [{"n": 9, "type": [C.FILE] * 3, "id": ["item_0", "item_1", "item_2"]}]}
-    return document(C.FOLDER, 3, shape, "nested"), [table(top), table(items)]
-
-
-def deep(tiles: range = range(20)) -> tuple[dict, list[pa.Table]]:
-    names, top, sensors, bands = [*PLACES, "nyc"], [], [], []
-    for at, t in enumerate(tiles):
-        top.append({C.ID: f"tile_{t:02d}", C.TYPE: C.FOLDER, **place(names[t % 9]), TIME: day(t), "cloud_cover": t * 13 % 100, C.CURRENT_ID: at, C.PARENT_ID: at})
-        for s, (sensor, metres) in enumerate((("sensor_A", 10), ("sensor_B", 20))):
-            sensors.append({C.ID: sensor, C.TYPE: C.FOLDER, "resolution_m": metres, C.CURRENT_ID: 2 * at + s, C.PARENT_ID: at, C.RELATIVE_PATH: f"tile_{t:02d}/{sensor}/"})
-            for b, (band, nm) in enumerate((("band_R", 665), ("band_G", 560), ("band_B", 490))):
-                bands.append({C.ID: band, C.TYPE: C.FILE, SHAPE: [1, 256, 256], STATS: [cell(10.0 * b + t)], "wavelength_nm": nm, C.CURRENT_ID: len(bands), C.PARENT_ID: 2 * at + s, C.RELATIVE_PATH: f"tile_{t:02d}/{sensor}/{band}"})
-    n = len(tiles)
-    two = {"n": 3 * n, "type": [C.FILE] * 3, "id": ["band_R", "band_G", "band_B"]}
-    shape = {"1": [{"n": 2 * n, "type": [C.FOLDER] * 2, "id": ["sensor_A", "sensor_B"]}], "2": [two, dict(two)]}
-    return document(C.FOLDER, n, shape, "deep"), [table(top), table(sensors), table(bands)]
+    return document(C.FILE, len(rows), {}, "buoys"), [table(rows)]
+
+
+#: River, and how many gauges it has.
+RIVERS = {"loire": 2, "po": 4, "ebro": 2, "tisza": 3}
+
+
+def rivers() -> tuple[dict, list[pa.Table]]:
+    """Gauges stand at the positions 0, 1, 2 ... in the rivers' order and report shares of ice, water, mud; the Tisza's second one reports levels."""
+    top, gauges = [], []
+    for r, (name, n) in enumerate(RIVERS.items()):
+        first, last = spot(len(gauges)), spot(len(gauges) + n - 1)
+        top.append({C.ID: name, C.TYPE: C.FOLDER, BOX: box_wkb(first[0] - 1, first[1] - 1, last[0] + 1, last[1] + 1), TIME: day(r), "basin_km2": 1000.0 * (r + 1), C.CURRENT_ID: r, C.PARENT_ID: r})
+        for k in range(n):
+            stats = [cell(50.0 + k)] if name == "po" or (name == "tisza" and k == 1) else [[0.1, 0.7, 0.2]]
+            gauges.append({C.ID: f"gauge_{k}", C.TYPE: C.FILE, **placed_at(len(gauges)), TIME: day(40 * k + r), SHAPE: [1, 8, 8], STATS: stats, C.CURRENT_ID: len(gauges), C.PARENT_ID: r, C.RELATIVE_PATH: f"{name}/gauge_{k}"})
+    names = [f"gauge_{k}" for k in range(4)]
+    return document(C.FOLDER, len(top), {"1": [{"n": len(gauges), "type": [C.FILE] * 4, "id": names}]}, "rivers"), [table(top), table(gauges)]
+
+
+STATIONS = ("inshore", "shelf", "slope")
+CASTS = ("ctd", "oxygen")
+
+
+def cruises(which: range = range(12)) -> tuple[dict, list[pa.Table]]:
+    """Cruise n sails on day 9 n at position n; its casts' mean is n, half a unit more for oxygen."""
+    top, stations, casts = [], [], []
+    for at, t in enumerate(which):
+        name = f"cruise_{t:03d}"
+        top.append({C.ID: name, C.TYPE: C.FOLDER, **placed_at(t), TIME: day(9 * t), "crew": 5 + t % 4, C.CURRENT_ID: at, C.PARENT_ID: at})
+        for s, station in enumerate(STATIONS):
+            stations.append({C.ID: station, C.TYPE: C.FOLDER, "fathoms": 10 * (s + 1), C.CURRENT_ID: len(stations), C.PARENT_ID: at, C.RELATIVE_PATH: f"{name}/{station}/"})
+            for k, cast in enumerate(CASTS):
+                casts.append({C.ID: cast, C.TYPE: C.FILE, SHAPE: [1, 30, 2], STATS: [cell(t + 0.5 * k)], "pressure": 100 * (s + 1) + k, C.CURRENT_ID: len(casts), C.PARENT_ID: len(stations) - 1, C.RELATIVE_PATH: f"{name}/{station}/{cast}"})
+    one = {"n": 2 * len(top), "type": [C.FILE] * 2, "id": list(CASTS)}
+    shape = {"1": [{"n": 3 * len(top), "type": [C.FOLDER] * 3, "id": list(STATIONS)}], "2": [dict(one) for _ in STATIONS]}
+    return document(C.FOLDER, len(top), shape, "cruises"), [table(top), table(stations), table(casts)]
 
 
 def write_folder(made: tuple[dict, list[pa.Table]], where: Path) -> str:

@@ -16,7 +16,6 @@ COLLECTION = "COLLECTION.json"
 CONSOLIDATED_FOLDER = ".tacocat"
 ARCHIVE_SUFFIXES = (".tacozip", ".zip")
 LEGACY_SUFFIXES = (".taco", ".tortilla")
-LEGACY_PREFIX = "tacofoundation:"
 TREE_KEY, FIELDS_KEY = "taco:pit_schema", "taco:field_schema"
 MAX_LEVELS = 6
 

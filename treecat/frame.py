@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, GroupedData, Window, functions as F
 from . import constants as C
 from .errors import BackendError, NavigationError
 from .operators.levels import children_of, order_columns, q
+from .sources import files
 
 _adapters: dict[str, Callable[[DataFrame], Any]] = {}
 
@@ -114,17 +115,21 @@ class Frame:
     def with_position(self, name: str = "position") -> DataFrame:
         """Rows with their 0-based position.
 
-        Numbers come from a range-sorted order: each sorted partition is
-        counted, and a partition's start is what stands before it.
+        The range-sorted rows are written once, each with its partition and its
+        place there; a partition starts after the rows of those before it. So
+        the counts and the rows are of one sort, whatever a second one would do.
         """
-        ranged = self._full.orderBy(*self._order)
-        ranged = ranged.withColumn("__id", F.monotonically_increasing_id())
+        spark = self._full.sparkSession
+        ranged = self._full.orderBy(*self._order) if self._order else self._full
+        ranged = ranged.select(*map(q, self._visible), F.monotonically_increasing_id().alias("__id"))
+        path = files.scratch(spark, "positions")
+        ranged.write.parquet(path)
         part, within = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
-        ranged = ranged.withColumns({"__part": part, "__within": within}).drop("__id")
-        counts = ranged.groupBy("__part").count()
-        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-        starts = counts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
-        joined = ranged.join(F.broadcast(starts), "__part")
+        written = spark.read.schema(ranged.schema).parquet(path).withColumns({"__part": part, "__within": within})
+        before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row per sorted partition
+        starts = written.groupBy("__part").count()
+        starts = starts.select("__part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__start"))
+        joined = written.join(F.broadcast(starts), "__part")
         return joined.select((F.col("__start") + F.col("__within")).alias(name), *map(q, self._visible))
 
     def rows(self, start: int, stop: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 A cell is an array over bands. A continuous band has the nine values of
 ``constants.CELL``; any other length is a categorical band, one share per class
 (a categorical band of nine classes cannot be told from a continuous one).
-Every aggregate is one pass over exploded bands with partial aggregation; only
+Every aggregate is one pass (the deviation two) over exploded bands with partial aggregation; only
 bands x values numbers reach the driver, as float32.
 """
 
@@ -52,23 +52,28 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(float("nan"))).otherwise(a / F.nullif(b, F.lit(0.0)))
 
 
-def _pooled_std() -> Column:
-    w, m, s = F.col("w"), _value("mean"), _value("std")
-    total, first, second = F.sum(w), F.sum(w * m), F.sum(w * m * m)
-    within = F.sum((w - 1) * s * s)
-    between = F.greatest(second - _ratio(first * first, total), F.lit(0.0))
-    return F.sqrt(_ratio(within + between, total - 1))
-
-
 AGGREGATES = {
     "min": lambda: _lowest(_value("min")),
     "max": lambda: F.max(_value("max")),
     "mean": lambda: _ratio(F.sum(F.col("w") * _value("mean")), F.sum("w")),
-    "std": _pooled_std,
     **{p: (lambda p=p: F.avg(_value(p))) for p in ("p25", "p50", "p75", "p95")},
 }
 
 
+def pooled_std(long: DataFrame) -> DataFrame:
+    """``(band, value)`` of ``bands`` rows in two steps: the bands' weighted means, then squares around them.
+
+    Squares around zero would cancel where means are large beside deviations.
+    There is one mean per band, and a cell holds all bands in one row, so the
+    means are few and broadcast.
+    """
+    w, m, s = F.col("w"), _value("mean"), _value("std")
+    centre = long.groupBy("band").agg(_ratio(F.sum(w * m), F.sum(w)).alias("centre"))
+    away = long.join(F.broadcast(centre), "band")
+    squares = F.sum((w - 1) * s * s + w * (m - F.col("centre")) ** 2)
+    return away.groupBy("band").agg(F.sqrt(_ratio(squares, F.sum(w) - 1)).alias("value"))
+
+
 def continuous(df: DataFrame, what: str, column: str | None = None) -> DataFrame:
     """``(band, value)`` of one aggregate over continuous cells.
 
@@ -76,7 +81,8 @@ def continuous(df: DataFrame, what: str, column: str | None = None) -> DataFrame
     is pooled, percentiles are plain means. A total weight of 1 has no
     standard deviation (NaN).
     """
-    return bands(df, column).groupBy("band").agg(AGGREGATES[what]().alias("value"))
+    long = bands(df, column)
+    return pooled_std(long) if what == "std" else long.groupBy("band").agg(AGGREGATES[what]().alias("value"))
 
 
 def categorical(df: DataFrame, column: str | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import SparkSession
 
 from .. import constants as C
@@ -17,9 +19,13 @@ def by_name(path: str) -> str:
     return C.ARCHIVE if last.lower().endswith(C.ARCHIVE_SUFFIXES) else C.PLAIN
 
 
+#: A name in a dataset registry, such as ``registry:dataset``: neither a scheme with a path nor a drive letter.
+_REGISTERED = re.compile(r"[A-Za-z][\w.+-]+:(?!/)")
+
+
 def refuse_legacy(path: str) -> None:
-    """An error that says what to do, for names of the first format generation."""
-    if path.startswith(C.LEGACY_PREFIX) or path.rstrip("/").lower().endswith(C.LEGACY_SUFFIXES):
+    """An error that says what to do, for names of the first format generation: its suffixes, and names in a registry."""
+    if _REGISTERED.match(path) or path.rstrip("/").lower().endswith(C.LEGACY_SUFFIXES):
         raise FormatError(f"{path} has the first-generation format: read it with treecat.legacy.load")
 
 
