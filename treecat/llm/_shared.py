@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Bytes 0-255 with A-Z folded to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -49,12 +51,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512, mb: int = 8) -> None:
-    """Bound the rows and bytes of one Arrow batch, so that long texts do not pile up in a Python worker."""
-    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", mb << 20)):
-        key = f"spark.sql.execution.arrow.{key}"
-        if not 0 < int(spark.conf.get(key).rstrip("bB")) <= most:
-            spark.conf.set(key, str(most))
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str = "n", hot_rows: int = 100_000, most_hot: int = 100_000) -> DataFrame:
+    """``left`` inner-joined to ``right``, which has one row a key and in ``rows`` how many rows of ``left`` have it.
+
+    Keys with more than ``hot_rows`` rows are few (at most their share of the
+    table) and meet by a broadcast, so no task gets all rows of one; the others
+    are shuffled. More than ``most_hot`` such keys are left to the shuffle,
+    where AQE splits them. ``left`` should be cheap to read twice.
+    """
+    hot = cut(right.where(F.col(rows) > hot_rows), "hot")
+    if not 0 < hot.count() <= most_hot:
+        return left.join(right, keys)
+    some = F.broadcast(hot)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.where(F.col(rows) <= hot_rows), keys)
+    return left.join(some, keys).unionByName(rest)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches cut to at most ``rows`` rows, so that few long texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

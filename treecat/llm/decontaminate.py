@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, small_batches
+from ._shared import cut, slices
 
 #: 0-9, a-z and bytes from 0x80 stay, A-Z fold, all else is a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -120,7 +120,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
     repeated items count once.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     added = {"n_words": "bigint", "hit_runs": "array<struct<begin:int,end:int>>", "hit_items": "array<string>"}
     docs = docs.drop(*(c for c in added if c != text))
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -136,7 +135,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
 
         def run(batches: Iterator[pa.RecordBatch], windows=windows) -> Iterator[pa.RecordBatch]:
             index = windows.value
-            for b in batches:
+            for b in slices(batches):
                 counts, runs, held = [], [], []
                 before = zip(b.column("hit_runs").to_pylist(), b.column("hit_items").to_pylist())
                 for value, (old_runs, old_items) in zip(b.column(text).to_pylist(), before):
@@ -185,7 +184,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
         raise ValueError(f"mode is documents or spans, not {mode!r}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             cleaned = [
                 remove_runs(t, [(r["begin"], r["end"]) for r in runs]) if runs else t
                 for t, runs in zip(b.column("text").to_pylist(), b.column("hit_runs").to_pylist())

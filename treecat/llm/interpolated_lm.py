@@ -27,7 +27,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._shared import new_folder, small_batches, space_words
+from ._shared import new_folder, slices, space_words
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
@@ -87,7 +87,7 @@ _PACKED_SQL = "batch long, n_tokens long, ids array<long>, held array<boolean>,
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made, now = TaskContext.get().partitionId(), 0, _Batch()
-    for b in batches:
+    for b in slices(batches):
         for doc_id, held, text in zip(*(c.to_pylist() for c in b.columns)):
             now.add(doc_id, held, space_words(text))
             if len(now.tokens) >= BATCH_TOKENS:
@@ -242,7 +242,6 @@ def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id
     text is the end alone. Repeated rows count each; no rows give no rows.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text).cast("string").alias("text"))
     packed = _bucketed(rows.mapInArrow(_pack, _PACKED_SQL), "packed", parts)

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import cut, small_batches, table
+from ._shared import cut, slices, table
 from .decontaminate import words
 from .labelled import held_out_fold, labelled_sample
 
@@ -99,11 +99,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
 
     Without a toxic label there are no features and nothing is toxic.
     """
-    small_batches(docs.sparkSession)
     sample = cut(labelled_sample(docs, labels, label, most_labelled, learn), "toxic_sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             for y, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
                 found = list({f for w in set(words(text)) for f in feature_names(w)})
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], names=["word", "label"])
@@ -122,7 +121,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for b in batches:
+        for b in slices(batches):
             found = [blank.features(t, cache) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("label"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
@@ -150,7 +149,6 @@ def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False
     likely one; toxic means P(severity >= 1) of a half or more. A null or
     empty text has no features.
     """
-    small_batches(docs.sparkSession)
     added = ("expected_severity", "grade", "toxic")
     docs = docs.drop(*added)
     schema = docs.select("*", F.lit(0.0).alias(added[0]), F.lit(0).alias(added[1]), F.lit(True).alias(added[2])).schema
@@ -158,7 +156,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
-        for b in batches:
+        for b in slices(batches):
             above = shared.value.above(b.column("text").to_pylist(), cache)
             edge = np.concatenate([np.ones((len(above), 1)), above, np.zeros((len(above), 1))], axis=1)
             toxic = above[:, 0] >= 0.5

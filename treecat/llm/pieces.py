@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import small_batches, table
+from ._shared import slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: the space mark, and a score that marks pieces no text search may use.
@@ -324,7 +324,6 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
     ``round_trip`` says whether decoding gives back the text, a null as "".
     """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast((read_model(model), is_bpe(model)))  # the tokenizer's own pieces: a bounded table
     added = {"piece_ids": "array<int>", "n_pieces": "int", "round_trip": "boolean"}
     docs = docs.drop(*(c for c in added if c != text))
@@ -332,7 +331,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, cache = PieceModel(*shared.value), {}
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(text).to_pylist()
             ids = pieces.encode(texts, cache)
             back = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]

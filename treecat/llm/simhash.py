@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import cut, lower_bytes, small_batches
+from ._shared import cut, lower_bytes, slices
 from .components import connected_components
 from .set_similarity import set_components, with_set_digest, with_sets
 
@@ -57,12 +57,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shingle: int = 4) -> DataFrame:
     """``docs`` with a long column ``name`` that holds the fingerprint's 64 bits (replaced if there)."""
-    small_batches(docs.sparkSession)
     docs = docs.drop(name) if name in docs.columns and name != text else docs
     schema = docs.select("*", F.lit(0).cast("long").alias(name)).schema
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 

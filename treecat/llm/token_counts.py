@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import small_batches, table
+from ._shared import slices, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's pre-tokeniser splits text.
@@ -107,7 +107,6 @@ def section_token_counts(
     if by_line and len(fields) != 1:
         raise ValueError("lines are taken from one field")
     spark = docs.sparkSession
-    small_batches(spark)
     with open(vocabulary, "rb") as f:  # the tokenizer's own file, under a megabyte
         raw = spark.sparkContext.broadcast(f.read())
     rows = docs.select(F.col(key).alias("key"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"f{n}") for n, c in enumerate(fields)))
@@ -116,7 +115,7 @@ def section_token_counts(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, sizes = _encoding(raw.value, pattern)
-        for b in batches:
+        for b in slices(batches):
             repeat, columns = [], [[] for _ in names[1:]]
             for i, values in enumerate(zip(*(c.to_pylist() for c in b.columns[1:]))):
                 parts = _lines(values[0]) if by_line else [*(v + separator for v in values[:-1]), values[-1]]
