@@ -2,13 +2,21 @@
 
 ARC files open with a ``filedesc://`` record whose body names the version and
 the fields of every header line; a record is one header line, then as many
-bytes as the line declares. The converter parses versions 1 and 2, and gives
-every record what WARC asks for: a type, an identifier, a timestamp and
-digests. Records whose payloads repeat become ``revisit`` records.
-
-Files are written by Spark's text writer with the record separator as line
-separator, so any Hadoop file system and committer works; they are read whole
-(``binaryFile``), one file to a task, and streamed through gzip.
+bytes as the line declares. The converter parses versions 1 and 2, plain or
+gzipped (as a whole or record by record), and gives every record what WARC asks
+for: a type, an identifier, a timestamp and digests. HTTP responses whose
+payloads repeat become ``revisit`` records; what is no HTTP response (DNS
+answers, plain files) becomes a ``resource``.
+
+A record is known by its file and its place there, so archives of any origin
+convert. Tasks get paths and stream the files themselves, so no archive is
+ever a row, whatever its size, and payloads are not shuffled: what is hashed
+once is written as a table of digests, the repeats are found among those, and
+each file's task gets its own records' marks.
+
+Every record is one gzip member, as WARC readers that jump to an offset want.
+Files are written by Spark's text writer, so any Hadoop file system and
+committer works (see ``gzip_lines``).
 """
 
 from __future__ import annotations
@@ -17,14 +25,17 @@ import gzip
 import hashlib
 import io
 import re
+import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import cut, new_folder, small_batches, table
+from ..sources.streams import open_input
+from ._shared import cut, new_folder, slices, table
 
 # Fixed values of the formats.
 ARC_FIELDS = {
@@ -32,10 +43,12 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 WARC_VERSION = b"WARC/1.1"
-END = "\r\n\r\n"
+END = b"\r\n\r\n"
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: A gzip member's header up to its open name field.
+_MEMBER = b"\x1f\x8b\x08\x08" + b"\0" * 5 + b"\xffrecord"
 
 _FLUSH = 8 << 20
-RECORD = "file string, position long, url string, ip string, archived string, content_type string, block binary"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[pa.RecordBatch]:
@@ -54,14 +67,39 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weight: int) -> Iterator[
 _LINE = pa.schema([("line", pa.binary())])
 
 
-def _write(lines: DataFrame, path: str, separator: str) -> None:
+def gzip_lines(records: Iterator[bytes]) -> Iterator[bytes]:
+    """Records as gzip members, in lines that a NUL separates.
+
+    A line ends with the next member's header up to its name, which the
+    separator then ends; the NUL behind the last one is padding, which gzip
+    allows. So the text writer's file is a plain series of members.
+    """
+    line = None
+    for record in records:
+        packer = zlib.compressobj(1, zlib.DEFLATED, -15)  # a fast level: the payloads are read back soon
+        body = packer.compress(record) + packer.flush() + struct.pack("<II", zlib.crc32(record), len(record) & 0xFFFFFFFF)
+        if line is None:
+            line = _MEMBER + b"\0" + body
+        else:
+            yield line + _MEMBER
+            line = body
+    if line is not None:
+        yield line
+
+
+def _write(lines: DataFrame, path: str) -> None:
     """One file per partition, in row order; bytes pass through the text writer unchanged."""
-    # a fast level: the payloads are read back soon
-    lines.select(F.col("line").cast("string")).write.option("zlib.compress.level", "BEST_SPEED").text(path, compression="gzip", lineSep=separator)
+    lines.select(F.col("line").cast("string")).write.text(path, compression="none", lineSep="\0")
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+    """``(path)`` of every file below ``path``, dealt over partitions by size; no content is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+
+def unzipped(stream: io.BufferedReader) -> io.BufferedReader:
+    """The stream, through gzip if it opens like gzip."""
+    return io.BufferedReader(gzip.GzipFile(fileobj=stream), 1 << 20) if stream.peek(2)[:2] == b"\x1f\x8b" else stream
 
 
 def _field(value: object, gap: str = "%20") -> str:
@@ -93,23 +131,22 @@ def write_arc(pages: DataFrame, path: str, archived: str = "19970101000000", ver
 
     The page's id travels as an HTTP header; a null html is an empty body.
     """
-    small_batches(pages.sparkSession)
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         version, name = versions[part % len(versions)], f"part-{part:05d}.arc"
 
-        def rows() -> Iterator[tuple]:
-            yield (arc_opening(version, name, archived),)
-            for b in batches:
+        def records() -> Iterator[bytes]:
+            yield arc_opening(version, name, archived) + b"\n"
+            for b in slices(batches):
                 for page, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
                     payload = html.encode("utf-8", "surrogatepass") if html else b""
                     body = http_response(payload, {} if page is None else {"X-Page-Id": page})
-                    yield (arc_record(version, url, "0.0.0.0", archived, "text/html", body, name),)
+                    yield arc_record(version, url, "0.0.0.0", archived, "text/html", body, name) + b"\n"
 
-        yield from _batches(rows(), _LINE, 0)
+        yield from _batches(((x,) for x in gzip_lines(records())), _LINE, 0)
 
-    _write(pages.select("page_id", "url", "html").mapInArrow(lines, "line binary"), path, "\n")
+    _write(pages.select("page_id", "url", "html").mapInArrow(lines, "line binary"), path)
 
 
 def parse_arc(stream: io.BufferedIOBase) -> Iterator[dict]:
@@ -120,7 +157,7 @@ def parse_arc(stream: io.BufferedIOBase) -> Iterator[dict]:
     """
     fields, opening = None, True
     while line := stream.readline():
-        if not line.strip():
+        if not line.strip(b"\r\n\0 "):
             continue
         parts = line.rstrip(b"\r\n").decode("utf-8", "replace").split(" ")
         if opening and (len(parts) < 5 or not parts[0].startswith("filedesc://")):
@@ -142,29 +179,16 @@ def parse_arc(stream: io.BufferedIOBase) -> Iterator[dict]:
         yield dict(zip(fields, parts)) | {"body": body}
 
 
-def read_arc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all ARC files below ``path``, with their place in the file."""
-    small_batches(spark)
-    schema = pa.schema([("file", pa.string()), ("position", pa.int64()), *((c, pa.string()) for c in ("url", "ip", "archived", "content_type")), ("block", pa.binary())])
-
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            for b in batches:
-                for file, content in zip(b.column("path").to_pylist(), b.column("content")):
-                    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)
-                    for n, r in enumerate(parse_arc(stream)):
-                        yield file, n, r["URL"], r["IP-address"], r["Archive-date"], r["Content-type"], r["body"]
-
-        yield from _batches(rows(), schema, 6)
-
-    return _files(spark, path).mapInArrow(records, RECORD)
+def _arc_records(path: str) -> Iterator[dict]:
+    with open_input(path) as stream:
+        yield from parse_arc(unzipped(stream))
 
 
 # --- WARC --------------------------------------------------------------------
 
 
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
-    """Head (with its blank line), header fields by lower-case name, payload."""
+    """Head (with its blank line), header fields by lower-case name, payload; no head and the whole block if it is no HTTP response."""
     head, mark, payload = block.partition(b"\r\n\r\n")
     if not mark or not head.startswith(b"HTTP/"):
         return b"", {}, block
@@ -172,8 +196,13 @@ def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     return head + mark, {k.decode("latin-1").strip().lower(): v.decode("latin-1").strip() for k, _, v in named}, payload
 
 
-def record_id(page: object, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}')}>"
+def _number(text: str | None) -> int | None:
+    return int(text) if text and re.fullmatch(r"-?\d{1,18}", text) else None
+
+
+def record_id(file: str, position: int, digest: str) -> str:
+    """An identifier from the record's place, so that equal payloads elsewhere have others."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{file}#{position}:{digest}')}>"
 
 
 def warc_date(archived: str) -> str:
@@ -187,75 +216,92 @@ def warc_record(headers: dict[str, object], block: bytes) -> bytes:
     return WARC_VERSION + b"\r\n" + lines + f"Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def with_payload(records: DataFrame) -> DataFrame:
-    """ARC records with ``page_id long, payload_bytes long, payload_digest string`` from their HTTP blocks."""
-    schema = records.select("*", F.lit(None).cast("long").alias("page_id"), F.lit(0).cast("long").alias("payload_bytes"), F.lit("").alias("payload_digest")).schema
+_DIGESTS = pa.schema([("file", pa.string()), ("position", pa.int64()), ("page_id", pa.int64()), ("http", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            pages, sizes, digests = [], [], []
-            for block in b.column("block"):
-                _, fields, payload = split_http(block.as_py())
-                pages.append(int(fields["x-page-id"]) if "x-page-id" in fields else None)
-                sizes.append(len(payload))
-                digests.append(hashlib.sha256(payload).hexdigest())
-            new = [pa.array(pages, pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, "page_id", "payload_bytes", "payload_digest"])
 
-    return records.mapInArrow(add, schema)
+def arc_digests(spark: SparkSession, path: str) -> DataFrame:
+    """``(file, position, page_id, http, payload_bytes, payload_digest)`` of all records of all ARC files below ``path``.
+
+    ``page_id`` is the number that an HTTP header ``X-Page-Id`` names, if there is one.
+    """
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                for file in b.column("path").to_pylist():
+                    for n, r in enumerate(_arc_records(file)):
+                        head, fields, payload = split_http(r["body"])
+                        yield file, n, _number(fields.get("x-page-id")), bool(head), len(payload), hashlib.sha256(payload).hexdigest()
+
+        yield from _batches(rows(), _DIGESTS, 5)
+
+    return _files(spark, path).mapInArrow(digests, "file string, position long, page_id long, http boolean, payload_bytes long, payload_digest string")
+
+
+def repeated(digests: DataFrame, least_bytes: int = 100, most_broadcast: int = 200_000) -> DataFrame:
+    """``digests`` with ``first``, the record that a revisit refers to; null where a record stays.
+
+    Of HTTP responses with equal payloads of ``least_bytes`` or more, the first
+    is the one with the smallest page_id, or without page ids the first by file
+    and position. Records that repeat the first one's page_id stay. A list of
+    repeated digests of up to ``most_broadcast`` is broadcast; beyond it digests
+    are shuffled, one row a record, in a join that AQE splits at a hot payload.
+    """
+    order = F.struct(F.col("page_id").isNull().alias("unnamed"), "page_id", "file", "position")
+    found = digests.where(F.col("http") & (F.col("payload_bytes") >= least_bytes)).groupBy("payload_digest")
+    found = cut(found.agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "repeats")
+    found = F.broadcast(found) if found.count() <= most_broadcast else found
+    marked = digests.join(found.withColumn("http", F.lit(True)), ["payload_digest", "http"], "left")
+    same_page = F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("page_id").isNotNull()
+    same_place = (F.col("file") == F.col("first.file")) & (F.col("position") == F.col("first.position"))
+    return marked.withColumn("first", F.when(~(same_page | same_place), F.col("first")))
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least_bytes: int = 100, most_broadcast: int = 200_000) -> None:
     """Convert every ARC file below ``arc_path`` to WARC files.
 
-    Of records with equal payloads of ``least_bytes`` or more, those with the
-    smallest page_id become responses and the others revisits of it. Only
-    digests and ids are shuffled to find the repeats. Up to ``most_broadcast``
-    repeated digests are broadcast, and no payload moves; beyond that a
-    payload moves once, in a join that AQE splits when one payload is hot.
+    A file's marks (digests and revisits, some 200 bytes a record) go to the
+    task that converts it; it parses the file again but hashes no payload anew.
     """
-    records = with_payload(read_arc(spark, arc_path))
-    repeats = records.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest")
-    repeats = repeats.agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = cut(repeats, "repeats")
-    repeats = F.broadcast(repeats) if repeats.count() <= most_broadcast else repeats
-    marked = records.join(repeats, "payload_digest", "left")
-    marked = marked.select("url", "ip", "archived", "block", "page_id", "payload_bytes", "payload_digest", "first_id")
+    marks = repeated(cut(arc_digests(spark, arc_path), "digests"), least_bytes, most_broadcast)
+    mark = F.struct("position", "payload_digest", "payload_bytes", F.col("first.page_id").alias("page"), F.col("first.file").alias("file"), F.col("first.position").alias("at"))
+    plans = marks.groupBy("file").agg(F.sort_array(F.collect_list(mark)).alias("marks"))
+    plans = plans.repartition(max(1, min(_files(spark, arc_path).count(), 10_000)), "file")
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def records() -> Iterator[bytes]:
             info = b"software: treecat\r\nformat: WARC File Format 1.1\r\nconformsTo: ARC conversion\r\n"
-            part = TaskContext.get().partitionId()
-            head = {"WARC-Type": "warcinfo", "WARC-Record-ID": record_id("info", str(part)), "WARC-Date": warc_date("1997"), "Content-Type": "application/warc-fields"}
-            yield (warc_record(head, info),)
-            for b in batches:
-                for url, ip, archived, block, page, size, digest, first in zip(*(c.to_pylist() for c in b.columns)):
-                    revisit = first is not None and page != first
-                    http, _, _ = split_http(block) if revisit else (b"", None, None)
+            head = {"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": warc_date("1997"), "Content-Type": "application/warc-fields"}
+            opened = False
+            for b in slices(batches, 1):
+                if not opened:
+                    yield warc_record(head, info) + END
+                    opened = True
+                file = b.column("file")[0].as_py()
+                for m, r in zip(b.column("marks")[0], _arc_records(file), strict=True):
+                    m, block = m.as_py(), r["body"]
+                    http, _, _ = split_http(block)
+                    revisit, digest = m["file"] is not None, m["payload_digest"]
                     block = http if revisit else block
-                    yield (
-                        warc_record(
-                            {
-                                "WARC-Type": "revisit" if revisit else "response",
-                                "WARC-Record-ID": record_id(page, digest),
-                                "WARC-Date": warc_date(archived),
-                                "WARC-Target-URI": url,
-                                "WARC-IP-Address": ip,
-                                "WARC-Payload-Digest": f"sha256:{digest}",
-                                "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
-                                "WARC-Refers-To": record_id(first, digest) if revisit else None,
-                                "WARC-Profile": "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest" if revisit else None,
-                                "Content-Type": "application/http; msgtype=response",
-                                "X-Payload-Length": size,
-                                "X-Refers-To-Page-Id": first if revisit else None,
-                            },
-                            block,
-                        ),
-                    )
-
-        yield from _batches(rows(), _LINE, 0)
-
-    _write(marked.mapInArrow(lines, "line binary"), warc_path, END)
+                    headers = {
+                        "WARC-Type": "revisit" if revisit else "response" if http else "resource",
+                        "WARC-Record-ID": record_id(file, m["position"], digest),
+                        "WARC-Date": warc_date(r["Archive-date"]),
+                        "WARC-Target-URI": r["URL"],
+                        "WARC-IP-Address": r["IP-address"],
+                        "WARC-Payload-Digest": f"sha256:{digest}",
+                        "WARC-Block-Digest": f"sha256:{hashlib.sha256(block).hexdigest()}",
+                        "WARC-Refers-To": record_id(m["file"], m["at"], digest) if revisit else None,
+                        "WARC-Profile": REVISIT_PROFILE if revisit else None,
+                        "Content-Type": "application/http; msgtype=response" if http else r["Content-type"],
+                        "X-Payload-Length": m["payload_bytes"],
+                        "X-Refers-To-Page-Id": m["page"] if revisit else None,
+                    }
+                    yield warc_record(headers, block) + END
+
+        yield from _batches(((x,) for x in gzip_lines(records())), _LINE, 0)
+
+    _write(plans.mapInArrow(lines, "line binary"), warc_path)
 
 
 def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -276,30 +322,38 @@ def parse_warc(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], byte
         yield fields, block
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Response and revisit records of all WARC files below ``path``; digests are checked against the bytes."""
-    small_batches(spark)
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("warc_date", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
+_WARC = {"page_id": "long", "payload_bytes": "long", "payload_digest": "string", "record_type": "string", "refers_to": "long", "record_id": "string", "refers_to_id": "string", "warc_date": "string", "url": "string", "content_type": "string", "payload": "binary"}
+_ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Response, revisit and resource records of all WARC files below ``path``; digests are checked against the bytes.
+
+    Without ``payloads`` the bytes are checked but not returned.
+    """
+    names = {c: t for c, t in _WARC.items() if payloads or c != "payload"}
+    schema = pa.schema([(c, _ARROW[t]) for c, t in names.items()])
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:
-                for content in b.column("content"):
-                    stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(content.as_buffer())), 1 << 20)
-                    for f, block in parse_warc(stream):
-                        if f["warc-type"] not in ("response", "revisit"):
-                            continue
-                        _, http, payload = split_http(block)
-                        digest, revisit = f["warc-payload-digest"].removeprefix("sha256:"), f["warc-type"] == "revisit"
-                        if not revisit and hashlib.sha256(payload).hexdigest() != digest:
-                            raise ValueError(f"the payload of {f['warc-record-id']} does not have its digest")
-                        page, first = http.get("x-page-id"), f.get("x-refers-to-page-id")
-                        size = int(f["x-payload-length"]) if revisit else len(payload)
-                        yield page and int(page), size, digest, f["warc-type"], first and int(first), f["warc-record-id"], f["warc-date"], f.get("warc-target-uri"), None if revisit else payload
+                for file in b.column("path").to_pylist():
+                    with open_input(file) as stream:
+                        for f, block in parse_warc(unzipped(stream)):
+                            kind = f["warc-type"]
+                            if kind not in ("response", "revisit", "resource"):
+                                continue
+                            _, http, payload = split_http(block)
+                            digest = f["warc-payload-digest"].removeprefix("sha256:")
+                            if kind != "revisit" and hashlib.sha256(payload).hexdigest() != digest:
+                                raise ValueError(f"the payload of {f['warc-record-id']} does not have its digest")
+                            size = int(f["x-payload-length"]) if kind == "revisit" else len(payload)
+                            row = (_number(http.get("x-page-id")), size, digest, kind, _number(f.get("x-refers-to-page-id")), f["warc-record-id"], f.get("warc-refers-to"), f["warc-date"], f.get("warc-target-uri"), f.get("content-type"))
+                            yield (*row, None if kind == "revisit" else payload) if payloads else row
 
-        yield from _batches(rows(), schema, 8)
+        yield from _batches(rows(), schema, len(schema) - 1)
 
-    return _files(spark, path).mapInArrow(records, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, warc_date string, url string, payload binary")
+    return _files(spark, path).mapInArrow(records, ", ".join(f"{c} {t}" for c, t in names.items()))
 
 
 def pages_through_archives(pages: DataFrame) -> DataFrame:
@@ -308,16 +362,17 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     A null html is an empty payload; payloads under 100 bytes never are
     revisits; a page without an id comes back with a null id, as a revisit
     where a page with an id has its payload; rows that repeat the smallest
-    page_id are responses each.
+    page_id are responses each. Other columns are not read; no pages give no rows.
     """
     spark = pages.sparkSession
     arc, warc = new_folder(spark, "arc"), new_folder(spark, "warc")
     write_arc(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")), arc)
     arc_to_warc(spark, arc, warc)
-    return read_warc(spark, warc).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_warc(spark, warc, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op9_archive_converter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``pages`` through both formats, as ``pages_through_archives`` has them."""
     return pages_through_archives(table(spark, sf_dir, "pages"))
 
 
