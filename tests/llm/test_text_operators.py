@@ -21,16 +21,16 @@ def brute_contamination(rows, items):
     windows = {}
     for key, text in items:
         w = words(text)
-        if key is not None and w:
+        if w:
             size = min(10, len(w))
             for i in range(len(w) - size + 1):
-                windows.setdefault(tuple(w[i : i + size]), set()).add(str(key))
+                windows.setdefault(tuple(w[i : i + size]), set()).update({str(key)} if key is not None else ())
     out = []
     for doc, text in rows:
         w, hit, found = words(text), set(), set()
         for i in range(len(w)):
             for size in range(1, 11):
-                if i + size <= len(w) and (names := windows.get(tuple(w[i : i + size]))):
+                if i + size <= len(w) and (names := windows.get(tuple(w[i : i + size]))) is not None:
                     hit |= set(range(i, i + size))
                     found |= names
         out.append((doc is None, doc or 0, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
@@ -41,19 +41,20 @@ def brute_contamination(rows, items):
 def leaks(odd_rows):
     rng = random.Random(1)
     items = [(i, prose(rng, rng.choice([3, 9, 10, 11, 30]))) for i in range(20)]
-    items += [(20, items[4][1]), (20, items[4][1]), (21, ""), (22, None), (None, "no id"), (23, "ÄÖ Ü 日本語"), (24, "...")]
+    items += [(20, items[4][1]), (20, items[4][1]), (21, ""), (22, None), (None, "an item without id"), (None, items[5][1] + " and more than that"), (23, "ÄÖ Ü 日本語"), (24, "...")]
     rows = [(10 + i, prose(rng, 60)) for i in range(30)]
     rows += [(50 + i, f"{prose(rng, 5)} {items[i][1].upper().replace(' ', ' - ')}! {prose(rng, 5)}") for i in range(20)]
+    rows += [(92, f"{prose(rng, 4)} an item, without: ID {prose(rng, 4)}")]  # a null id's words are hit
     rows += [(90, items[3][1] + " " + items[3][1]), (91, " ".join(items[4][1].split()[:9]))]
     return rows + odd_rows, items
 
 
-@pytest.mark.parametrize("most", [5_000_000, 150])
+@pytest.mark.parametrize("most", [160 << 20, 0])
 def test_contamination_matches_brute_force(spark, docs, leaks, most, monkeypatch):
     rows, items = leaks
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     scan = dc.scan
-    monkeypatch.setattr(dc, "scan", lambda *a, **k: scan(*a, **k, most_words=most))
+    monkeypatch.setattr(dc, "scan", lambda *a, **k: scan(*a, **k, most_bytes=most))
     found = dc.contamination(docs(rows, extra=True), benchmark).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0, *r[1:]) for r in found) == brute_contamination(rows, items)
 
@@ -75,6 +76,34 @@ def test_decontamination_of_documents_and_spans(spark, docs):
         dc.decontaminate(docs(rows), benchmark, "x")
 
 
+def test_false_hash_hits_are_told_apart(spark, docs, leaks, monkeypatch):
+    """With hashes of four bits nearly every window hits; the digests settle it."""
+    rows, items = leaks
+    weak = dc.Rolling.hashes
+    monkeypatch.setattr(dc.Rolling, "hashes", lambda self, sums, size: weak(self, sums, size) & np.uint64(0xF << 60))
+
+    def exact(items, width):
+        made = [(r["item"], *w) for r in items.collect() for w in windows_of(r["text"], width)]
+        return items.sparkSession.createDataFrame(made, "item long, size int, hash long, digest binary")
+
+    def windows_of(text, width):
+        w = dc.words(text)
+        size, rolling = min(width, len(w)), dc.Rolling()
+        hashes = rolling.hashes(rolling.sums(w), size) if w else ()
+        return {(size, int(np.uint64(h).view(np.int64)), bytes(dc.digest(w[i : i + size]))) for i, h in enumerate(hashes)}
+
+    index = dc.WindowSet(exact(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(items)], "item long, text string"), 10).toArrow(), {i: None if k is None else str(k) for i, (k, _) in enumerate(items)})
+    got = []
+    for doc, text in rows:
+        flat = dc.words(text)
+        hit, names = set(), set()
+        for i, n, holders in index.hits(dc.Rolling(), flat, np.full(len(flat), len(flat))):
+            hit |= set(range(i, i + n))
+            names |= {index.names[k] for k in holders if k >= 0}
+        got.append((doc is None, doc or 0, len(flat), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    assert sorted(got) == brute_contamination(rows, items)
+
+
 # --- pieces ----------------------------------------------------------------------
 
 
