@@ -182,10 +182,37 @@ def test_ids_are_those_of_the_library(spark, docs, odd_rows):
     for r in found:
         assert r["piece_ids"] == library.encode(r["text"]) and r["round_trip"], r["text"][:80]
     merged = ps.PieceModel(ps.read_model(ps.MODEL), ps.is_bpe(ps.MODEL))
-    made = sorted({w for t in texts for w in t.split(" ") if 0 < len(w) <= ps.LONG and "\n" not in w})
+    made = sorted({w for t in texts for w in t.split(" ") if w and "\n" not in w})
     assert merged.encode_words(made) == [merged._spelled(w, merged.plain(w)) for w in made]
 
 
+def unspaced(rng, n):
+    """Text without a space: run-on words, an address, Chinese, base64-like and repeated characters."""
+    kinds = [lambda: prose(rng, 30).replace(" ", ""), lambda: "https://a.example/" + str(rng.random()) + "/x?y=", lambda: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(50)), lambda: "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(200)), lambda: rng.choice("xa=-_") * 150]
+    out = ""
+    while len(out) < n:
+        out += rng.choice(kinds)()
+    return out[:n]
+
+
+def test_long_texts_without_spaces_take_the_batched_search(monkeypatch):
+    """100,000 characters in a row: the library's ids by merges, the plain search's by Viterbi, and no plain search runs."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=ps.MODEL)
+    rng = random.Random(8)
+    texts = [unspaced(rng, 100_000), "".join(prose(rng, 3_000).split()), "ab" * 20_000, "a" * 30_000]
+    want = ps.PieceModel(ps.read_model(ps.MODEL))
+    short = unspaced(rng, 5_000)
+    plain = want._spelled(" " + short, want.plain(" " + short))
+    monkeypatch.setattr(ps.PieceModel, "plain", lambda *_: pytest.fail("plain search"))
+    merged = ps.PieceModel(ps.read_model(ps.MODEL), True)
+    for text, ids in zip(texts, merged.encode(texts)):
+        assert ids.tolist() == library.encode(text), text[:50]
+    assert want.encode([short])[0].tolist() == plain
+    assert want.decode(want.encode(texts[:1])[0].tolist()) == texts[0]
+
+
 def test_models_that_cannot_work():
     byte = [(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)]
     with pytest.raises(ValueError):

@@ -6,11 +6,18 @@ the sum says nothing; its encoding comes from merging the neighbours whose
 union has the highest score, the leftmost in a tie, until none is a piece.
 No piece has a space after another character, so both run word by word
 (a word keeps the spaces before it), once for each distinct word of a batch.
-Words of equal length advance together: the hashes of all their substrings
-that end at a position probe the sorted piece hashes, vectorised maxima keep
-the best sum and the piece that led to it. In a tie the longer last piece wins.
-Merging takes one merge of every such word a round and asks the same hashes for
-the two pairs that each merge makes.
+A word longer than any piece is first cut wherever no piece that occurs in it
+reaches over, which neither search can do either; so a line of Chinese, or one
+without any space, is cut to short parts where the vocabulary allows it, and
+parts of any length take the same batched search.
+
+Viterbi: parts of equal length advance together: the hashes of all their
+substrings that end at a position probe the sorted piece hashes, vectorised
+maxima keep the best sum and the piece that led to it. In a tie the longer last
+piece wins. Merging: all parts of a batch stand end to end as one array of
+tokens; each round makes, in every part, the merges of its best pair, and asks
+the same hashes for the pairs that arise. Merges of one pair are made together
+as long as none of them gives rise to a pair that would come first.
 
 A character without a piece costs the lowest score less 10 and becomes byte
 pieces. Spaces stand for the model's space mark, so that a mark in the text
@@ -40,9 +47,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Tells substrings of different lengths apart in one table.
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
-#: Words above this length are searched alone.
-LONG = 48
-_CACHE = 200_000
+#: Distinct words whose pieces a task remembers, and their length.
+_CACHE, _CACHED = 200_000, 48
+#: Cells (words times characters) of one batched search.
+_CELLS = 1 << 21
 #: Top bits of a hash that a first look asks for, before the sorted keys are searched.
 _FILTER_BITS = 18
 _FILTER_SHIFT = np.uint64(64 - _FILTER_BITS)
@@ -114,13 +122,13 @@ class PieceModel:
             may_be[(hashes >> _FILTER_SHIFT).astype(np.int64)] = True
             self.tables[n] = hashes[order], np.array([s for s, _ in found]), np.array([i for _, i in found]), may_be
         self.longest = max(self.tables, default=1)
-        if merges:  # one table of all lengths, as the pairs of a round differ in theirs
-            parts = [(h + np.array([n], np.uint64) * _LENGTH, s, i) for n, (h, s, i, _) in self.tables.items()]
-            keys, scores, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0) for k in range(3))
-            order = np.argsort(keys)
-            may_be = np.zeros(1 << _FILTER_BITS, bool)
-            may_be[(keys >> _FILTER_SHIFT).astype(np.int64)] = True
-            self.all = keys[order], -scores[order].astype(np.float32), ids[order].astype(np.int32), may_be
+        # one table of all lengths, as the pairs of a round differ in theirs
+        parts = [(h + np.array([n], np.uint64) * _LENGTH, s, i) for n, (h, s, i, _) in self.tables.items()]
+        keys, scores, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in range(3))
+        order = np.argsort(keys)
+        may_be = np.zeros(1 << _FILTER_BITS, bool)
+        may_be[(keys >> _FILTER_SHIFT).astype(np.int64)] = True
+        self.all = keys[order], -scores[order].astype(np.float32), ids[order].astype(np.int32), may_be
 
     def _match(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(position, score, id) of those of the hashes that are pieces of n characters."""
@@ -163,51 +171,97 @@ class PieceModel:
             alive = alive[at[alive] > 0]
         return [x[::-1] for x in out]
 
-    def _equal_length_merged(self, words: list[str]) -> list[list[int]]:
-        """As ``_equal_length``, by merges: each round makes the first merge of every word that has one left."""
-        m, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64)
-        sums = np.zeros((m, size + 1), np.uint64)
-        np.cumsum((codes + np.uint64(1)) * _powers(_BASE, size), axis=1, out=sums[:, 1:])
-        back = _powers(_INVERSE, size + 1)
+    def _parts(self, word: str) -> list[str]:
+        """The word, cut wherever no piece that occurs in it reaches over."""
+        n = len(word)
+        if n <= self.longest:
+            return [word]
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)))
+        back = _powers(_INVERSE, n)
+        edge = np.zeros(n + 1, np.int64)
+        for size in self.tables:
+            if 1 < size <= n:
+                at = self._match(size, (sums[size:] - sums[: n + 1 - size]) * back[: n + 1 - size])[0]
+                edge[at + 1] += 1  # the places inside the piece
+                edge[at + size] -= 1
+        cuts = [0, *(1 + np.flatnonzero(np.cumsum(edge)[1:n] == 0)).tolist(), n]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _merged(self, words: list[str]) -> list[list[int]]:
+        """Piece ids of words of any length by merges; -1 stands for a character without a piece."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        n = int(sizes.sum())
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)))
+        back = _powers(_INVERSE, n + 1)
         keys, costs, ids, may_be = self.all
 
-        def look(row: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Cost and id of the piece that the characters [a, b) of each row make; infinite and -1 without one."""
-            asked = (sums[row, b] - sums[row, a]) * back[a] + (b - a).astype(np.uint64) * _LENGTH
-            cost, piece = np.full(len(row), np.inf, np.float32), np.full(len(row), -1, np.int32)
+        def look(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Cost and id of the piece that the characters [a, b) make; infinite and -1 without one."""
+            asked = (sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64) * _LENGTH
+            cost, piece = np.full(len(a), np.inf, np.float32), np.full(len(a), -1, np.int32)
             at = np.flatnonzero(may_be[(asked >> _FILTER_SHIFT).astype(np.int64)])
             place = np.minimum(np.searchsorted(keys, asked[at]), len(keys) - 1)
             same = keys[place] == asked[at]
             cost[at[same]], piece[at[same]] = costs[place[same]], ids[place[same]]
             return cost, piece
 
-        row, at = np.repeat(np.arange(m), size), np.tile(np.arange(size), m)
-        piece = look(row, at, at + 1)[1].reshape(m, size)
-        alive = np.ones((m, size), bool)
-        after = np.tile(np.arange(1, size + 1), (m, 1))
-        before = after - 2
-        cost, union = np.full((m, size), np.inf, np.float32), np.full((m, size), -1, np.int32)
-        inner = at + 1 < size
-        cost[row[inner], at[inner]], union[row[inner], at[inner]] = look(row[inner], at[inner], at[inner] + 2)
-        row = np.arange(m)
-        while len(row):
-            a = cost[row].argmin(axis=1)
-            going = cost[row, a] < np.inf
-            row, a = row[going], a[going]
-            b = after[row, a]
-            end = after[row, b] if len(row) else b
-            piece[row, a], alive[row, b], cost[row, b], cost[row, a] = union[row, a], False, np.inf, np.inf
-            after[row, a] = end
-            more = end < size
-            r, left, right = row[more], a[more], end[more]
-            before[r, right] = left
-            cost[r, left], union[r, left] = look(r, left, after[r, right])
-            more = before[row, a] >= 0
-            r, left = row[more], before[row, a][more]
-            cost[r, left], union[r, left] = look(r, left, end[more])
-        flat, ends = piece[alive].tolist(), np.cumsum(alive.sum(axis=1)).tolist()
-        return [flat[i:j] for i, j in zip([0, *ends], ends)]
+        def join(a: np.ndarray, b: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """``look`` where ``ok``, which keeps pairs inside one word."""
+            cost, piece = np.full(len(a), np.inf, np.float32), np.full(len(a), -1, np.int32)
+            cost[ok], piece[ok] = look(a[ok], b[ok])
+            return cost, piece
+
+        final = np.full(n, -2, np.int32)  # by first character; -2 where none begins
+        begin, word = np.arange(n), np.repeat(np.arange(len(words)), sizes)
+        end, own = begin + 1, look(begin, begin + 1)[1]
+        with_next = np.append(word[1:] == word[:-1], False) if n else np.zeros(0, bool)
+        cost, union = join(begin, np.append(end[1:], n), with_next)
+        while len(begin):
+            heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            least = np.minimum.reduceat(cost, heads)
+            lengths = np.diff(np.append(heads, len(begin)))
+            going = np.isfinite(least)
+            if not going.all():  # words without a pair to merge are done
+                stay = np.repeat(going, lengths)
+                final[begin[~stay]] = own[~stay]
+                begin, end, own, word, cost, union = (x[stay] for x in (begin, end, own, word, cost, union))
+                least, lengths = least[going], lengths[going]
+                if not len(begin):
+                    break
+            best = np.repeat(least, lengths)
+            at = np.flatnonzero(cost == best)
+            # of a run of overlapping pairs every other one, from the left
+            starts = np.flatnonzero(np.append(True, np.diff(at) > 1))
+            at = at[(np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))) % 2 == 0]
+            # what each merge gives rise to, made from left to right: a pair with the merge before or the token there, and one with the next token
+            left = np.where(np.append(False, np.diff(at) == 2), np.append(at[:1], at[:-1]), at - 1)
+            has_left, has_right = left >= 0, at + 2 < len(begin)
+            left, right = np.maximum(left, 0), np.minimum(at + 2, len(begin) - 1)
+            has_left &= word[left] == word[at]
+            has_right &= word[right] == word[at]
+            before, after = join(begin[left], end[at + 1], has_left)[0], join(begin[at], end[right], has_right)[0]
+            early = np.minimum(before, after) <= best[at]
+            if early.any():  # then that pair comes before the word's further merges
+                count = np.cumsum(early) - early
+                first = np.flatnonzero(np.append(True, np.diff(word[at]) != 0))
+                at = at[count == np.repeat(count[first], np.diff(np.append(first, len(at))))]
+            end[at], own[at] = end[at + 1], union[at]
+            keep = np.ones(len(begin), bool)
+            keep[at + 1] = False
+            changed = np.zeros(len(begin), bool)
+            changed[at] = True
+            changed[np.maximum(at - 1, 0)] = True
+            changed[np.maximum(at - 2, 0)] = True  # the token before, where a merged one's second half stands between
+            begin, end, own, word, cost, union, changed = (x[keep] for x in (begin, end, own, word, cost, union, changed))
+            row = np.flatnonzero(changed)
+            then = np.minimum(row + 1, len(begin) - 1)
+            cost[row], union[row] = join(begin[row], end[then], (then > row) & (word[then] == word[row]))
+        found = final[final > -2].tolist()
+        counts = np.bincount(np.repeat(np.arange(len(words)), sizes)[final > -2], minlength=len(words))
+        ends = np.cumsum(counts).tolist()
+        return [found[i:j] for i, j in zip([0, *ends], ends)]
 
     def _plain_merged(self, word: str) -> list[int]:
         """The merges of one word of any length, from a heap of pairs."""
@@ -270,20 +324,34 @@ class PieceModel:
                 at += 1
         return out if at == len(word) else None
 
+    def _searched(self, parts: list[str]) -> list[list[int]]:
+        """Piece ids of distinct parts, in batches of bounded size."""
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        found: list[list[int]] = [[]] * len(parts)
+
+        def batched(at: np.ndarray, search) -> None:
+            filled = np.cumsum(sizes[at]) // _CELLS
+            for k in np.unique(filled):
+                mine = at[filled == k].tolist()
+                for i, pieces in zip(mine, search([parts[i] for i in mine])):
+                    found[i] = pieces
+
+        if self.merges:
+            batched(np.arange(len(parts)), self._merged)
+        else:
+            for size in np.unique(sizes):
+                batched(np.flatnonzero(sizes == size), self._equal_length)
+        return found
+
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Piece ids of each (distinct) word."""
-        found: list[list[int] | None] = [None] * len(words)
-        sizes = np.fromiter(map(len, words), np.int64, len(words))
-        for size in np.unique(sizes):
-            at = np.flatnonzero(sizes == size)
-            if size > LONG:
-                for i in at:
-                    found[i] = self._spelled(words[i], self.plain(words[i]))
-                continue
-            search, rows = (self._equal_length_merged, 10_000) if self.merges else (self._equal_length, 50_000)
-            for part in np.array_split(at, -(-len(at) // rows)):
-                for i, pieces in zip(part.tolist(), search([words[i] for i in part])):
-                    found[i] = self._spelled(words[i], pieces)
+        long = {i: self._parts(w) for i, w in enumerate(words) if len(w) > self.longest}
+        index = {p: n for n, p in enumerate({p for parts in long.values() for p in parts})}
+        short = [w for w in words if len(w) <= self.longest]
+        pieces = self._searched([*index, *short])
+        rest = iter(pieces[len(index) :])
+        found = [[p for k in long[i] for p in pieces[index[k]]] if i in long else next(rest) for i in range(len(words))]
+        found = list(map(self._spelled, words, found))
         return [self._spelled(w, self.plain(w)) if x is None else x for w, x in zip(words, found)]
 
     def encode(self, texts: list[str | None], cache: dict[str, list[int]] | None = None) -> list[np.ndarray]:
@@ -296,7 +364,7 @@ class PieceModel:
         new = [i for i, x in enumerate(pieces) if x is None]
         for i, x in zip(new, self.encode_words([words[i] for i in new])):
             pieces[i] = x
-            if len(cache) < _CACHE and len(words[i]) <= LONG:
+            if len(cache) < _CACHE and len(words[i]) <= _CACHED:
                 cache[words[i]] = x
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         first = np.cumsum(sizes) - sizes
@@ -312,7 +380,7 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of piece ids: the opposite of ``encode``."""
-        raw = b"".join([self.texts[i] for i in ids])
+        raw = b"".join(map(self.texts.__getitem__, ids))
         return raw[1:].decode("utf-8", "replace") if raw[:1] == b" " else raw.decode("utf-8", "replace")
 
 
@@ -321,7 +389,10 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
     The ids are those of the library's ``encode``, except that a literal space
     mark takes byte pieces; a BPE model is searched by merges, others by Viterbi.
-    ``round_trip`` says whether decoding gives back the text, a null as "".
+    ``round_trip`` says whether decoding gives back the text, a null as "". A
+    null or empty text has no pieces. Repeated rows stay, an empty table gives
+    none, all other columns are kept, and a text of any length, with or without
+    spaces, takes the same search.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((read_model(model), is_bpe(model)))  # the tokenizer's own pieces: a bounded table
@@ -360,4 +431,5 @@ def decode_pieces(docs: DataFrame, ids: str = "piece_ids", name: str = "text", m
 
 
 def op7_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded and decoded, as ``encode_pieces`` has it."""
     return encode_pieces(table(spark, sf_dir, "documents").select("doc_id", "text"))
