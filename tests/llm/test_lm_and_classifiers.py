@@ -106,6 +106,32 @@ def test_histogram_and_weights():
     assert likelihood(w) > likelihood(np.full_like(w, 1 / 3))
 
 
+def test_weights_are_those_of_a_plain_em():
+    """EM token by token, without histogram or numpy, on the same held-out counts."""
+    rng = random.Random(3)
+    n, v, tokens = 5_000, 400, []
+    for _ in range(600):
+        context = rng.choice([1, 1, 2, 3, 5, 9, 30, 200])
+        pair = rng.randint(1, context)
+        tokens.append((context, pair, pair + rng.randint(0, 300)))
+    weights = {b: [1 / 3] * 3 for b in range(lm.BUCKETS)}
+    held = []
+    for context, pair, word in tokens:  # its own occurrence deleted from each count
+        c = context - 1
+        held.append((c.bit_length(), [(pair - 1) / c if c else 0.0, (word - 1) / (n - 1), 1 / (v + 1)]))
+    for _ in range(60):
+        shares = {b: [1.0, 1.0, 1.0] for b in range(lm.BUCKETS)}
+        for b, p in held:
+            parts = [w * x for w, x in zip(weights[b], p)]
+            for k in range(3):
+                shares[b][k] += parts[k] / sum(parts)
+        weights = {b: [x / sum(s) for x in s] for b, s in shares.items()}
+    b, _, _, k, p2, p1 = lm.cells(*(np.array(x) for x in zip(*tokens)), n)
+    found = lm.learn_weights(b, k, p2 / k, p1 / k, v)
+    for bucket in {b for b, _ in held} - {0}:
+        assert found[bucket] == pytest.approx(weights[bucket], abs=0.01), bucket  # cells of an eighth of a natural logarithm
+
+
 def test_model_sums_to_one():
     """Over all words after one context, the unknown included."""
     weights = np.full((lm.BUCKETS, 3), [0.5, 0.3, 0.2])

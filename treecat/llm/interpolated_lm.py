@@ -6,32 +6,33 @@ weights come from expectation-maximisation on held-out counts: every training
 token in turn is held out by deleting its own occurrence from the counts.
 
 The job never ships a model. Documents are packed into batches of token
-numbers (a bucketed table); each batch asks for the counts of its distinct
-words and bigrams, dealt into buckets by hash; a bucket adds up what all
-batches hold and answers each batch (a second table, bucketed alike, so that
-batches and answers meet without a shuffle). A frequent word or bigram is one
-entry per batch and so no hot key. Words and bigrams are told apart by 64-bit
-hashes.
+numbers (a table bucketed by batch). Each batch's distinct words and bigrams
+are rows (key, batch, place, count): a window over the key adds the counts up
+and gives every row its key's total, in one shuffle whose sort spills and in
+which a frequent word is one row a batch and so no hot key. The totals go back
+to their batches (a second table, bucketed alike, so that batches and totals
+meet without a shuffle, and read twice: for the weights and for the scores).
+Rows and shuffles grow in proportion to the text; no task's share depends on a
+number of buckets. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import math
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import new_folder, slices, space_words
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
-BATCH_TOKENS = 1_000_000
+BATCH_TOKENS = 2_000_000
 #: Width of a histogram cell in natural logarithms of a probability.
 CELL = 0.125
 BUCKETS = 48
@@ -60,12 +61,12 @@ class _Batch:
 
     def __init__(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.tokens: list[int] = []
+        self.tokens = array("I")
         self.docs: list[tuple] = []
 
     def add(self, doc_id: int | None, held: bool, words: list[bytes]) -> None:
         index = self.index
-        self.tokens += [index.setdefault(w, len(index)) for w in words]
+        self.tokens.extend([index.setdefault(w, len(index)) for w in words])
         self.tokens.append(index.setdefault(b"", len(index)))
         self.docs.append((doc_id, held, len(words) + 1))
 
@@ -77,7 +78,7 @@ class _Batch:
         ids, held, sizes = zip(*self.docs)
         return {
             "batch": name, "n_tokens": len(self.tokens), "ids": list(ids), "held": list(held), "sizes": list(sizes),
-            "words": _planes(hashes[order]), "tokens": _planes(place[np.array(self.tokens, np.int64)]),
+            "words": _planes(hashes[order]), "tokens": _planes(place[np.frombuffer(self.tokens, np.uint32)]),
         }
 
 
@@ -112,69 +113,37 @@ class _Unpacked:
         self.uniq, self.pair = np.unique(pair_keys(before, hashes), return_inverse=True)
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
-    """Positions of the sorted keys by bucket, in order."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
-
-
-def _asks(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(b.num_rows):
-                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                x = _Unpacked(row["words"], row["tokens"], row["sizes"], row["held"])
-                out = []
-                for kind, keys, which in ((1, x.words, x.tokens), (2, x.uniq, x.pair)):
-                    counts = np.bincount(which[x.train], minlength=len(keys)).astype(np.uint32)
-                    for k, at in enumerate(_dealt(keys, buckets)):
-                        if len(at):
-                            out.append((k, row["batch"], kind, _planes(keys[at]), _planes(counts[at])))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int8(), pa.binary(), pa.binary()))], names=["bucket", "batch", "kind", "keys", "counts"])
-
-    return run
-
-
-def _answers(rows: pa.Table) -> pa.Table:
-    """Per asked list the corpus counts of its keys; batch -1 carries the bucket's (tokens, distinct words)."""
-    bucket, out = rows.column("bucket")[0].as_py(), []
-    for kind in (1, 2):
-        mine = rows.filter(pc.equal(rows.column("kind"), kind))
-        if not mine.num_rows:
-            continue
-        keys = [_numbers(k, np.uint64) for k in mine.column("keys").to_pylist()]
-        counts = np.concatenate([_numbers(c, np.uint32) for c in mine.column("counts").to_pylist()])
-        uniq, which = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(which, counts, len(uniq)).astype(np.uint64)
-        if kind == 1:
-            out.append((-1, bucket, 0, int(total.sum()), int((total > 0).sum()), b""))
-        at = 0
-        for batch, k in zip(mine.column("batch").to_pylist(), keys):
-            out.append((batch, bucket, kind, 0, 0, _planes(total[which[at : at + len(k)]])))
-            at += len(k)
-    types = (pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.int64(), pa.binary())
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["batch", "bucket", "kind", "n", "v", "totals"])
-
-
-def _counted(buckets: int, batch: pa.Table, answers: pa.Table) -> tuple | None:
+#: Where a batch's bigrams begin among its places; words come before.
+PAIRS = 1 << 31
+
+
+def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per distinct word and bigram of a batch, with its training occurrences there."""
+    for b in slices(batches, 1):
+        row = b.to_pylist()[0]
+        x = _Unpacked(row["words"], row["tokens"], row["sizes"], row["held"])
+        for first, keys, which in ((0, x.words, x.tokens), (PAIRS, x.uniq, x.pair)):
+            counts = np.bincount(which[x.train], minlength=len(keys)).astype(np.int32)
+            for at in range(0, len(keys), 100_000):
+                n = len(keys[at : at + 100_000])
+                columns = (pa.array(keys[at : at + n].view(np.int64)), pa.array(np.full(n, row["batch"])), pa.array(first + at + np.arange(n)), pa.array(counts[at : at + n]))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["key", "batch", "place", "n"])
+
+
+def _counted(batch: pa.Table, totals: pa.Table) -> tuple | None:
     """(unpacked batch, its row, counts per token of context, bigram and word); None for a group without a batch."""
     if not batch.num_rows:
         return None
     row = batch.to_pylist()[0]
     x = _Unpacked(row["words"], row["tokens"], row["sizes"], row["held"])
-    got = {(k, b): t for k, b, t in zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "totals")))}
-    totals = []
-    for kind, keys in ((1, x.words), (2, x.uniq)):
-        all_ = np.zeros(len(keys), np.int64)
-        for k, at in enumerate(_dealt(keys, buckets)):
-            if len(at):
-                all_[at] = _numbers(got[kind, k], np.uint64)
-        totals.append(all_)
-    word, pair = totals[0][x.tokens], totals[1][x.pair]
+    place, total = totals.column("place").to_numpy(), totals.column("total").to_numpy()
+    words, pairs = np.zeros(len(x.words), np.int64), np.zeros(len(x.uniq), np.int64)
+    pair = place >= PAIRS
+    words[place[~pair]], pairs[place[pair] - PAIRS] = total[~pair], total[pair]
+    word, pair = words[x.tokens], pairs[x.pair]
     context = np.concatenate(([0], word[:-1]))
     # a document's first context is its start, which occurs as often as the end does
-    context[x.first] = totals[0][np.flatnonzero(x.words == END)[0]]
+    context[x.first] = words[np.flatnonzero(x.words == END)[0]]
     return x, row, context, pair, word
 
 
@@ -225,37 +194,47 @@ def probabilities(weights: np.ndarray, context: np.ndarray, pair: np.ndarray, wo
 
 
 def _bucketed(df: DataFrame, name: str, parts: int) -> DataFrame:
+    """``df`` as a table in ``parts`` buckets by batch; each bucket is one file."""
     spark = df.sparkSession
     where = f"{name}_{uuid.uuid4().hex}"
-    writer = df.write.bucketBy(parts, "batch").option("path", new_folder(spark, name)).option("compression", "zstd")
+    writer = df.repartition(parts, "batch").write.bucketBy(parts, "batch").option("path", new_folder(spark, name)).option("compression", "zstd")
     writer.saveAsTable(where)
     found = spark.table(where)
     spark.sql(f"DROP TABLE {where}")  # only the catalog's entry: the files stay, and the frame knows them and their buckets
     return found
 
 
+def corpus_totals(packed: DataFrame) -> DataFrame:
+    """``(batch, place, total, first)`` for every distinct word and bigram of every packed batch.
+
+    ``total`` counts the key's training occurrences in the whole corpus;
+    ``first`` marks one row of each key.
+    """
+    asks = packed.select("batch", "held", "sizes", "words", "tokens").mapInArrow(_asks, "key long, batch long, place long, n int")
+    same = Window.partitionBy("key", F.col("place") >= PAIRS)
+    return asks.select("batch", "place", F.sum("n").over(same).alias("total"), (F.min("batch").over(same) == F.col("batch")).alias("first"))
+
+
 def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     The model learns from the rows whose ``held_out`` is false; a null there
     counts as true. Tokens are the folded words and one end; a null or empty
-    text is the end alone. Repeated rows count each; no rows give no rows.
+    text is the end alone. Repeated rows count each; no rows give no rows;
+    other columns are not read.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text).cast("string").alias("text"))
     packed = _bucketed(rows.mapInArrow(_pack, _PACKED_SQL), "packed", parts)
-    total = packed.agg(F.sum("n_tokens")).first()[0] or 0
-    buckets = max(64, math.ceil(total / 2_000_000))
-    asks = packed.drop("n_tokens", "ids").mapInArrow(_asks(buckets), "bucket int, batch long, kind byte, keys binary, counts binary")
-    answers = asks.groupBy("bucket").applyInArrow(_answers, "batch long, bucket int, kind byte, n long, v long, totals binary")
-    answers = _bucketed(answers, "answers", parts)
-    n, v = (x or 0 for x in answers.where("kind = 0").agg(F.sum("n"), F.sum("v")).first())
-    met = packed.groupBy("batch").cogroup(answers.groupBy("batch"))
+    totals = _bucketed(corpus_totals(packed), "totals", parts)
+    n = packed.agg(F.sum(F.aggregate(F.arrays_zip("held", "sizes"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["held"], 0).otherwise(x["sizes"])))).first()[0] or 0
+    v = totals.where((F.col("place") < PAIRS) & F.col("first") & (F.col("total") > 0)).count()
+    met = packed.groupBy("batch").cogroup(totals.select("batch", "place", "total").groupBy("batch"))
     cell_types = [(c, pa.int64()) for c in ("bucket", "cell2", "cell1")] + [(c, pa.float64()) for c in ("tokens", "p2", "p1")]
 
     def histogram(batch: pa.Table, got: pa.Table) -> pa.Table:
-        found = _counted(buckets, batch, got)
+        found = _counted(batch, got)
         if found is None:
             return pa.schema(cell_types).empty_table()
         x, _, context, pair, word = found
@@ -268,7 +247,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id
     out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def score(batch: pa.Table, got: pa.Table) -> pa.Table:
-        found = _counted(buckets, batch, got)
+        found = _counted(batch, got)
         if found is None:
             return pa.schema(out).empty_table()
         x, row, context, pair, word = found
@@ -282,5 +261,6 @@ def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id
 
 
 def op2_deleted_interpolation(spark, sf_dir: str) -> DataFrame:
+    """All ``documents``, learning from those outside the held-out tenth; odd rows as in ``interpolated_scores``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return interpolated_scores(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
