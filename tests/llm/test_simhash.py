@@ -8,7 +8,7 @@ from llm_texts import prose
 from pyspark.sql import functions as F
 
 from treecat.llm.components import connected_components
-from treecat.llm.simhash import drop_near_duplicates, fingerprint, fingerprint_components, group_links, pivots, simhash_components
+from treecat.llm.simhash import distance_table, drop_near_duplicates, equal_blocks, fingerprint, fingerprint_components, group_links, packed_distances, pivots, simhash_components, unpacked_distances
 
 
 def brute_fingerprint(text):
@@ -72,8 +72,9 @@ def test_planted_fingerprints_with_hot_groups(spark):
     from treecat.llm import simhash
 
     df = spark.createDataFrame(rows, "doc_id long, fp long")
-    links = simhash.fingerprint_links(df.select("fp"), group_rows=32)
-    found = {r["node"]: r["component"] for r in connected_components(links).collect()}
+    links = {equal: simhash.fingerprint_links(df.select("fp"), group_rows=32, equal=equal) for equal in (2, 3, 5)}
+    found, *others = ({r["node"]: r["component"] for r in connected_components(x).collect()} for x in links.values())
+    assert others == [found, found]  # however many blocks a group agrees on
     label = list(range(len(every)))
 
     def find(a):
@@ -93,12 +94,21 @@ def test_planted_fingerprints_with_hot_groups(spark):
     assert fingerprint_components(df).count() == len(every)
 
 
+def test_number_of_blocks_and_distances(spark):
+    assert [equal_blocks(n, 4) for n in (0, 10**6, 10**8, 10**9, 10**10, 10**11, 10**13)] == [2, 2, 2, 3, 4, 4, 5]
+    fps = np.random.default_rng(5).integers(0, 1 << 64, 300, np.uint64)
+    df = spark.createDataFrame([(int(f),) for f in fps.view(np.int64)], "fp long")
+    got = df.select("fp", *packed_distances(F.col("fp"), pivots())).toArrow()
+    dist = unpacked_distances([got.column(k).to_numpy() for k in (1, 2)])
+    assert (dist == distance_table(got.column("fp").to_numpy().view(np.uint64), pivots())).all()
+
+
 def test_group_links_cover_all_pairs_of_small_and_large_groups():
     rng = np.random.default_rng(4)
     centre = np.uint64(rng.integers(0, 1 << 63))
     fps = np.array([centre ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(300)], np.uint64)
     for size in (5, 64, 65, 300):
-        u, v = group_links(fps[:size], np.zeros(size, int), pivots(), 4)
+        u, v = group_links(fps[:size], np.zeros(size, int), distance_table(fps[:size], pivots()), 4)
         assert len(u) < size
 
         def classes(pairs):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut
+from ._shared import cut, spread_join
 
 
 def _summary(edges: DataFrame) -> tuple:
@@ -44,3 +44,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node")).distinct().withColumn("component", F.col("node"))
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def named_components(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``own(fp, least_id, n)`` and ``nodes(node, component)`` -> ``(fp, n, component, component_id)``: the least id of each component."""
+    nodes = own.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    nodes = cut(nodes, "nodes")
+    smallest = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members"))
+    return spread_join(nodes.select("fp", "n", "component"), smallest, ["component"], "members").select("fp", "n", "component", "component_id")

@@ -20,10 +20,12 @@ from .url_templates import URL_SQL, op10_url_template_filter
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``, as ``simhash_components`` has them."""
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of ``documents`` against all of ``benchmark``, as ``contamination`` has it."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

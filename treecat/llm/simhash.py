@@ -5,10 +5,16 @@ A document's fingerprint has 64 bits. Two fingerprints link when at most
 inequality, so a pair whose distances to any pivot differ by more than
 ``radius`` cannot link; only pairs that pass every pivot are verified exactly.
 
-Which pairs meet at all is settled by blocks: the fingerprint is cut into
-``radius + 2`` blocks, and a linking pair agrees on at least two of them, so it
-meets in the group of one of the 15 block pairs. Groups above ``group_rows``
-are dealt into chunks, and chunks meet pairwise, so no task grows with a group.
+Which pairs meet at all is settled by blocks, since the coordinates of random
+fingerprints all lie near 32 and so tell too few of them apart to be a join key:
+with one pivot a pair passes with probability 0.57, with 16 with 1e-4. The
+fingerprint is cut into ``radius + k`` blocks, and a linking pair agrees on at
+least ``k`` of them, so it meets in a group of one of the choices of ``k``
+blocks. ``k`` grows with the number of fingerprints (2 to 5, of 15 to 126
+groups a fingerprint), so that groups of unrelated ones stay small; none of
+this loses a pair. A fingerprint's pivot distances are computed once and go
+along to its groups. Groups above ``group_rows`` are dealt into chunks, and
+chunks meet pairwise, so no task grows with a group.
 """
 
 from __future__ import annotations
@@ -21,8 +27,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import cut, lower_bytes, slices
-from .components import connected_components
+from ._shared import cut, lower_bytes, slices, spread_join
+from .components import connected_components, named_components
 from .set_similarity import set_components, with_set_digest, with_sets
 
 BITS = 64
@@ -68,7 +74,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
     return docs.mapInArrow(add, schema)
 
 
-def pivots(count: int = 32) -> np.ndarray:
+def pivots(count: int = 16) -> np.ndarray:
     """Reference fingerprints: hashes of 0, 1, 2, ..., so every task has the same ones."""
     return np.array([xxhash.xxh64_intdigest(str(i), 7) for i in range(count)], np.uint64)
 
@@ -78,6 +84,22 @@ def distance_table(fps: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(fps ^ p).astype(np.int8) for p in refs])
 
 
+def packed_distances(fp: Column, refs: np.ndarray) -> list[Column]:
+    """``distance_table`` in Spark: longs of eight distances each, a byte a pivot."""
+    out = []
+    for at in range(0, len(refs), 8):
+        word = F.lit(0).cast("long")
+        for n, ref in enumerate(refs[at : at + 8].view(np.int64).tolist()):
+            word = word.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(ref).cast("long"))).cast("long"), 8 * n))
+        out.append(word.alias(f"pivots{at // 8}"))
+    return out
+
+
+def unpacked_distances(words: list[np.ndarray]) -> np.ndarray:
+    """The rows of ``distance_table`` from the columns of ``packed_distances``."""
+    return np.concatenate([np.ascontiguousarray(w).view(np.int8).reshape(-1, 8).T for w in words])
+
+
 def _linked(fps: np.ndarray, dist: np.ndarray, i: np.ndarray, j: np.ndarray, radius: int) -> tuple:
     """The pairs that no pivot discards and that an exact comparison confirms."""
     for row in dist:
@@ -104,10 +126,9 @@ def _stars(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def group_links(fps: np.ndarray, group: np.ndarray, refs: np.ndarray, radius: int, side: int = 64) -> tuple:
-    """Links inside the runs of equal ``group`` as at most one edge per row: (u, v) arrays."""
+def group_links(fps: np.ndarray, group: np.ndarray, dist: np.ndarray, radius: int, side: int = 64) -> tuple:
+    """Links inside the runs of equal ``group`` as at most one edge per row: (u, v) arrays; ``dist`` is their distance table."""
     n = len(fps)
-    dist = distance_table(fps, refs)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.append(starts, n))
     found_i, found_j = [], []
@@ -139,40 +160,48 @@ def group_links(fps: np.ndarray, group: np.ndarray, refs: np.ndarray, radius: in
     return fps[rest], fps[label[rest]]
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, width) of radius + 2 blocks that cover the 64 bits."""
-    n = radius + 2
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """(first bit, width) of n blocks that cover the 64 bits."""
     edges = [BITS * k // n for k in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:])]
 
 
-def _key(fp: Column, pair: tuple) -> Column:
-    (a, wa), (b, wb) = pair
-    bits = lambda at, width: F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1))
-    return F.shiftleft(bits(a, wa), wb).bitwiseOR(bits(b, wb))
+def equal_blocks(rows: int, radius: int, most: int = 5) -> int:
+    """How many blocks a group agrees on: the fewest for which groups of unrelated fingerprints have 64 rows at most, up to ``most``."""
+    return next((k for k in range(2, most) if rows >> (BITS * k // (radius + k)) <= 64), most)
 
 
-def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n_pivots: int = 32, most_hot: int = 100_000) -> DataFrame:
+def _key(fp: Column, blocks: tuple) -> Column:
+    key = F.lit(0).cast("long")
+    for at, width in blocks:
+        key = F.shiftleft(key, width).bitwiseOR(F.shiftrightunsigned(fp, at).bitwiseAND(F.lit((1 << width) - 1)))
+    return key
+
+
+def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n_pivots: int = 16, most_hot: int = 100_000, equal: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` that connect the distinct longs ``fps(fp)`` as all links of up to ``radius`` bits do.
 
-    The list of hot groups is broadcast while it has ``most_hot`` rows at most,
-    else it is joined by a shuffle that AQE splits.
+    ``equal`` blocks of ``radius + equal`` make a group; without it the number
+    follows from the count. The list of hot groups is broadcast while it has
+    ``most_hot`` rows at most, else it is joined by a shuffle that AQE splits.
     """
-    spark = fps.sparkSession
-    pairs = list(combinations(_blocks(radius), 2))
+    refs = pivots(n_pivots)
+    fps = cut(fps.select("fp", *packed_distances(F.col("fp"), refs)), "distances")
+    equal = equal or equal_blocks(fps.count(), radius)
+    choices = list(combinations(_blocks(radius + equal), equal))
+    near = fps.columns[1:]
     met = fps.select(
-        "fp",
-        F.explode(F.array(*[F.struct(F.lit(n).alias("band"), _key(F.col("fp"), p).alias("key")) for n, p in enumerate(pairs)])).alias("x"),
-    ).select("fp", "x.band", "x.key")
+        "fp", *near,
+        F.explode(F.array(*[F.struct(F.lit(n).alias("band"), _key(F.col("fp"), c).alias("key")) for n, c in enumerate(choices)])).alias("x"),
+    ).select("fp", *near, "x.band", "x.key")
     hot = met.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > group_rows)
     hot = cut(hot.select("band", "key", F.ceil(F.col("n") / group_rows).cast("int").alias("chunks")), "hot")
     hot = F.broadcast(hot) if hot.count() <= most_hot else hot
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     met = met.join(hot, ["band", "key"], "left").withColumn("own", F.coalesce(own, F.lit(0)))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("chunks") - 1, F.lit(0)))))
-    met = met.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp")
+    met = met.select("band", "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "fp", *near)
     met = met.repartition("band", "key", "a", "b").sortWithinPartitions("band", "key", "a", "b", "fp")
-    refs = pivots(n_pivots)
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -181,7 +210,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n
             change = np.zeros(len(part[0]), bool)
             for c in part[:4]:
                 change[1:] |= c[1:] != c[:-1]
-            u, v = group_links(part[4].view(np.uint64), np.cumsum(change), refs, radius)
+            u, v = group_links(part[4].view(np.uint64), np.cumsum(change), unpacked_distances(part[5:]), radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
         for b in batches:
@@ -202,15 +231,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 4) -> DataFrame:
-    """``prints(doc_id, fp)`` -> ``(fp, component, component_id)``: per distinct fingerprint the smallest doc_id reachable.
+    """``prints(doc_id, fp)`` -> ``(fp, n, component, component_id)``: per distinct fingerprint its rows and the smallest doc_id reachable.
 
     ``component`` is the component's smallest fingerprint. A null doc_id never is the smallest; a component of null ids alone has a null id.
     """
-    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "prints")
-    nodes = connected_components(fingerprint_links(own.select("fp"), radius)).withColumnRenamed("node", "fp")
-    nodes = cut(own.join(nodes, "fp", "left").withColumn("component", F.coalesce("component", "fp")), "nodes")
-    smallest = nodes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return nodes.select("fp", "component").join(smallest, "component").select("fp", "component", "component_id")
+    own = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "prints")
+    return named_components(own, connected_components(fingerprint_links(own.select("fp"), radius)))
 
 
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = 4) -> DataFrame:
@@ -221,7 +247,7 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     prints = cut(with_fingerprint(docs).select("doc_id", "fp"), "fingerprints")
-    found = prints.join(fingerprint_components(prints, radius), "fp")
+    found = spread_join(prints, fingerprint_components(prints, radius), ["fp"])
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -232,7 +258,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     least ``similarity``, whatever their fingerprints: at 0.8 those lie some ten
     bits apart, too far for blocks. All columns stay. Rows that repeat a doc_id
     with a text of the same component count as one document: the one with the
-    smallest text stays.
+    smallest text stays. Null ids count as one id, which stays where its
+    component has no other; null and empty texts are one group; an empty table
+    gives no rows.
 
     Where ids are unique, the ids that go are taken out by an anti-join; up to
     ``most_broadcast`` of them are broadcast, and then no text is shuffled.
@@ -241,11 +269,11 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     prints = cut(with_sets(docs, shingle), "sets")
     stay = set_components(prints, similarity)
     if not prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
-        gone = cut(prints.select("doc_id", "fp").join(stay, "fp").where("doc_id <> component_id").select("doc_id"), "gone")
+        gone = cut(spread_join(prints.select("doc_id", "fp"), stay, ["fp"]).where("doc_id <> component_id").select("doc_id"), "gone")
         gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
         return docs.join(gone, "doc_id", "left_anti").select(*columns)
     marked = with_set_digest(docs, shingle, name="__fp")
-    stay = stay.withColumnsRenamed({"fp": "__fp", "component": "__component", "component_id": "__id"})
+    stay = stay.withColumnsRenamed({"fp": "__fp", "n": "__rows", "component": "__component", "component_id": "__id"})
     order = Window.partitionBy("doc_id", "__component").orderBy("text")
-    kept = marked.join(stay, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__id")))
+    kept = spread_join(marked, stay, ["__fp"], "__rows").where(F.col("doc_id").eqNullSafe(F.col("__id")))
     return kept.withColumn("__n", F.row_number().over(order)).where("__n = 1").select(*columns)
