@@ -43,12 +43,13 @@ def corpus(odd_rows):
     return [(10 + i, prose(rng, rng.randrange(1, 120))) for i in range(150)] + odd_rows
 
 
-def test_scores_match_brute_force(spark, docs, corpus, monkeypatch):
+@pytest.mark.parametrize("most", [0, 10**9])
+def test_scores_match_brute_force(spark, docs, corpus, monkeypatch, most):
     monkeypatch.setattr(lm, "BATCH_TOKENS", 2_000)
     kept = {}
     learn = lm.learn_weights
     monkeypatch.setattr(lm, "learn_weights", lambda *a, **k: kept.setdefault("w", learn(*a, **k)))
-    found = lm.interpolated_scores(docs(corpus, extra=True), HELD()).collect()
+    found = lm.interpolated_scores(docs(corpus, extra=True), HELD(), most_listed=most).collect()
     uni, bi, ctx = counted(corpus)
     n, v, weights = sum(uni.values()), len(uni), kept["w"]
     assert len(found) == len(corpus) and {r["train_tokens"] for r in found} == {n}
@@ -200,6 +201,43 @@ def test_quality_ranks_by_pairs():
     assert abs(int((m.scores(x) < 0.5).sum()) - int((y == 0).sum())) <= 1  # the threshold is the quantile
 
 
+def test_ranking_fit_against_its_own_definition():
+    """At the weights the loss of the drawn pairs, summed one by one, has no slope; the threshold is the label-0 quantile."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 4)) * [1, 5, 0.1, 1]
+    x[:, 3] = 2.0  # never varies
+    y = (x[:, 0] + 0.1 * x[:, 1] + rng.normal(size=120) > 0.4).astype(int)
+    m = pq.learn_ranking(x, y, pairs=5_000, l2=1e-2)
+    better, worse = pq.drawn_pairs(np.flatnonzero(y == 1), np.flatnonzero(y == 0), 5_000, 1)
+    scale = x.std(axis=0)
+    w = np.array([a * s if s > 1e-6 else 0.0 for a, s in zip(m.weights, scale)])
+    z = x / np.where(scale > 1e-6, scale, np.inf)
+
+    def loss(w):
+        return sum(math.log1p(math.exp(-float((z[a] - z[b]) @ w))) for a, b in zip(better, worse)) / 5_000 + 0.005 * float(w @ w)
+
+    for i in range(4):
+        e = np.eye(4)[i] * 1e-4
+        assert abs(loss(w + e) - loss(w - e)) / 2e-4 < 1e-5
+    ranked = sorted(float(r @ m.weights) for r in x)
+    bad = int((y == 0).sum())
+    assert m.threshold == pytest.approx((ranked[bad - 1] + ranked[bad]) / 2) and m.weights[3] == 0
+    assert m.scores(x)[0] == pytest.approx(1 / (1 + math.exp(m.threshold - float(x[0] @ m.weights))))
+
+
+def test_quality_sees_bytes_lines_and_words():
+    a, b = pq.text_features("Aa b\nb"), pq.text_features("aA  c\n")
+    assert len(a) == pq.N_FEATURES and a[ord("b")] == pytest.approx((2 / 6) ** 0.5) and a[135:].sum() > 0
+    assert (a[135:] ** 2).sum() == pytest.approx(1) and (a[135:] != b[135:]).any() and (pq.text_features(None) == 0).all()
+
+
+def test_quality_keeps_clashing_columns(judged):
+    documents, labels, _ = judged
+    named = documents.withColumn("__quality", F.lit("mine"))
+    kept = pq.keep_quality(named, labels)
+    assert kept.columns == named.columns and {r[0] for r in kept.select("__quality").distinct().collect()} == {"mine"}
+
+
 @pytest.mark.parametrize("quality, want", [(1, 1), (0, 0), (None, 1)])
 def test_quality_without_both_labels(spark, docs, quality, want):
     labels = spark.createDataFrame([(1, quality), (2, quality)], "doc_id long, quality int")
@@ -226,11 +264,68 @@ def test_ordinal_regression_shares_weights():
     rng = np.random.default_rng(2)
     x = rng.integers(0, 4, 2000)
     grade = np.clip(x + (rng.random(2000) < 0.1), 0, 3)
-    w, theta = tox.learn_ordinal(np.arange(2000), np.zeros(2000, int), x.astype(float), grade, 1)
+    w, theta = tox.learn_ordinal(lambda p: tox.ordinal_loss(p, np.arange(2000), np.zeros(2000, int), x.astype(float), grade), 2000, 1)
     above = 1 / (1 + np.exp(theta[None, :] - w[0] * x[:, None]))
     assert (np.diff(theta) > 0).all() and np.mean(np.round(above.sum(axis=1)) == grade) > 0.85
 
 
+def plain_ordinal(p, docs, grades):
+    """The negative log likelihood, document by document."""
+    w, free = p[: -tox.GRADES + 1], p[-tox.GRADES + 1 :]
+    theta = [free[0]]
+    for x in free[1:]:
+        theta.append(theta[-1] + math.exp(x))
+    loss = 0.0
+    for doc, y in zip(docs, grades):
+        score = sum(w[i] * v for i, v in doc)
+        below = [0.0, *(1 / (1 + math.exp(score - t)) for t in theta), 1.0]
+        loss -= math.log(below[y + 1] - below[y])
+    return loss
+
+
+def test_ordinal_likelihood_and_gradient():
+    """Against plain sums and numerical differences, in one part or in several."""
+    rng = np.random.default_rng(5)
+    docs = [[(int(i), float(rng.normal())) for i in rng.choice(6, rng.integers(0, 4), replace=False)] for _ in range(40)]
+    grades = rng.integers(0, tox.GRADES, 40)
+
+    def loss(p, which):
+        rows = [n for n, k in enumerate(which) for _ in docs[k]]
+        flat = [x for k in which for x in docs[k]]
+        return tox.ordinal_loss(p, np.array(rows, int), np.array([i for i, _ in flat], int), np.array([v for _, v in flat]), grades[list(which)])
+
+    p = rng.normal(0, 0.5, 6 + tox.GRADES - 1)
+    value, gradient = loss(p, range(40))
+    assert value == pytest.approx(plain_ordinal(p, docs, grades))
+    for i in range(len(p)):
+        e = np.eye(len(p))[i] * 1e-5
+        assert gradient[i] == pytest.approx((plain_ordinal(p + e, docs, grades) - plain_ordinal(p - e, docs, grades)) / 2e-5, abs=1e-5)
+    parts = [loss(p, range(k, 40, 3)) for k in range(3)]
+    assert sum(x for x, _ in parts) == pytest.approx(value) and sum(g for _, g in parts) == pytest.approx(gradient)
+    w, theta = tox.learn_ordinal(lambda q: loss(q, range(40)), 40, 6, l2=0.01)
+    at_best = np.concatenate([w, [theta[0]], np.log(np.diff(theta))])
+
+    def goal(q):
+        return plain_ordinal(q, docs, grades) / 40 + 0.005 * (q[:6] ** 2).sum()
+
+    assert all(goal(at_best) <= goal(at_best + d) + 1e-3 for d in rng.normal(0, 0.1, (200, len(p))))
+
+
+def test_scores_follow_from_the_model_word_by_word(judged):
+    documents, labels, _ = judged
+    model = tox.fit_toxicity(documents, labels)
+    by_number = {f: model.weights[i] for f, i in model.place.items()}
+    for r in tox.with_severity(documents, model).collect():
+        counts = Counter()
+        for w in tox.words(r["text"]):
+            counts.update(tox.word_features(w))
+        score = sum(by_number[f] * (1 + math.log(n)) for f, n in counts.items() if f in by_number)
+        above = [1 / (1 + math.exp(min(500, t - score))) for t in model.thresholds]
+        assert r["expected_severity"] == pytest.approx(sum(above)) and r["toxic"] == (above[0] >= 0.5)
+        shares = [a - b for a, b in zip([1, *above], [*above, 0])]
+        assert shares[r["grade"]] == pytest.approx(max(shares))
+
+
 def test_toxicity_without_toxic_labels(spark, docs):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     documents = docs([(1, "a b"), (2, None)])
