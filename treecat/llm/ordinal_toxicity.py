@@ -1,17 +1,22 @@
-"""Toxicity by cumulative-link ordinal regression over sparse word features.
+"""Toxicity by cumulative-link ordinal regression over sparse text features.
 
 P(severity <= k) is the logistic function of threshold_k minus a score that
 all thresholds share. Labels say toxic or not; a toxic document's grade (1 to
-``GRADES`` - 1) is the third it falls into by how many of its words stand out
-in toxic documents. The features are the words whose presence depends most on
-the label, and stems (first bytes) of words, so that an unseen form of a known
-word counts too; they are found by counts over the labelled sample.
+``GRADES`` - 1) is the third it falls into by how many of its features stand
+out in toxic documents, so grades order documents by strength of evidence and
+carry no judgement from outside.
+
+Features are hashes of words and of the runs of five bytes in them, so that an
+unseen form of a known word counts too. All ``2 ** BITS`` of them may be used;
+those whose presence depends on the label, by chi-square over the labelled
+sample, are. The likelihood and its gradient are summed in Spark tasks and
+minimised by L-BFGS on the driver, which never holds a document's features.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
@@ -25,32 +30,34 @@ from .decontaminate import words
 from .labelled import held_out_fold, labelled_sample
 
 GRADES = 4
-
-
-#: Words share features by their first so many bytes.
-STEMS = (4, 5, 6)
+#: Features are numbers below 2 ** BITS: a model has no more weights than that.
+BITS = 22
+GRAM = 5
 _CACHE = 200_000
 
 
-def feature_names(word: bytes) -> list[bytes]:
-    """The word itself (its hash, if over 64 bytes, so that a name is bounded) and ``^`` with each of its stems."""
-    own = word if len(word) <= 64 else xxhash.xxh64_hexdigest(word).encode()
-    return [own, *(b"^" + word[:k] for k in STEMS if len(word) >= k)]
+def word_features(word: bytes) -> set[int]:
+    """Numbers of the word and of its runs of ``GRAM`` bytes, its ends marked."""
+    marked = b"^" + word + b"$"
+    names = [marked, *(marked[i : i + GRAM] for i in range(len(marked) - GRAM + 1))]
+    return {xxhash.xxh32_intdigest(x) >> (32 - BITS) for x in names}
 
 
 @dataclass(frozen=True)
 class OrdinalModel:
-    vocabulary: dict[bytes, int]
+    """``place`` tells the place of each used feature in ``weights``."""
+
+    place: dict[int, int]
     weights: np.ndarray
     thresholds: np.ndarray
 
     def features(self, text: str | None, cache: dict[bytes, tuple[int, ...]]) -> tuple[list[int], list[float]]:
-        """(numbers, values) of a text's features: 1 + log(occurrences). ``cache`` keeps words' feature numbers."""
+        """(places, values) of a text's features: 1 + log(occurrences). ``cache`` keeps words' places."""
         counts: dict[int, int] = {}
         for word, n in Counter(words(text)).items():
             at = cache.get(word)
             if at is None:
-                at = tuple(self.vocabulary[f] for f in feature_names(word) if f in self.vocabulary)
+                at = tuple(self.place[f] for f in word_features(word) if f in self.place)
                 if len(cache) < _CACHE and len(word) <= 64:
                     cache[word] = at
             for i in at:
@@ -66,80 +73,130 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -500, 500)))
 
 
-def learn_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, rounds: int = 400, l2: float = 5e-5, rate: float = 0.1, toxic_weight: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) by Adam on the mean negative log likelihood; sparse features as (row, column, value).
+def thresholds(p: np.ndarray) -> np.ndarray:
+    """In order: the first parameter is free, each next adds an exponential."""
+    return np.cumsum(np.concatenate([p[:1], np.exp(p[1:])]))
+
 
-    Documents of grade 1 or more count ``toxic_weight`` times, for when missing one
-    costs more than a false alarm does. Thresholds stay in order: the first is free, each next adds an exponential.
+def ordinal_loss(p: np.ndarray, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """(negative log likelihood, its gradient) of documents with sparse features (row, column, value).
+
+    ``p`` are the weights, then the thresholds' parameters.
     """
-    n, weight = len(grade), np.where(grade > 0, toxic_weight, 1.0)
-    weight = weight / weight.sum()
-    p = np.concatenate([np.zeros(n_features), [1.0], np.zeros(GRADES - 2)])
-    m, s = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, rounds + 1):
-        w, theta = p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])]))
-        score = np.bincount(rows, values * w[cols], n)
-        f = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -50, 50)))  # P(y <= k - 1), k = 1 ...
-        full = np.concatenate([np.zeros((n, 1)), f, np.ones((n, 1))], axis=1)
-        at = np.arange(n)
-        like = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
-        slope = np.concatenate([np.zeros((n, 1)), f * (1 - f), np.zeros((n, 1))], axis=1)
-        hi, lo = weight * slope[at, grade + 1] / like, weight * slope[at, grade] / like
-        by_score = hi - lo  # of the negative log likelihood
-        by_theta = np.array([lo[grade == k].sum() - hi[grade == k - 1].sum() for k in range(1, GRADES)])
-        tail = np.cumsum(by_theta[::-1])[::-1]
-        g = np.concatenate([np.bincount(cols, values * by_score[rows], n_features) + l2 * w, tail[:1], tail[1:] * np.exp(p[n_features + 1 :])])
-        m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
-    return p[:n_features], np.cumsum(np.concatenate([p[n_features : n_features + 1], np.exp(p[n_features + 1 :])]))
-
-
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, most_labelled: int = 20_000, most_features: int = 4096, least_chi: float = 15.0) -> OrdinalModel:
-    """Learn from at most ``most_labelled`` labelled documents and ``most_features`` words.
+    n_features, n = len(p) - GRADES + 1, len(grade)
+    w, free = p[:n_features], p[n_features:]
+    theta = thresholds(free)
+    score = np.bincount(rows, values * w[cols], n)
+    f = 1 / (1 + np.exp(np.clip(score[:, None] - theta[None, :], -50, 50)))  # P(y <= k - 1), k = 1 ...
+    at, none, all_ = np.arange(n), np.zeros((n, 1)), np.ones((n, 1))
+    full, slope = np.concatenate([none, f, all_], axis=1), np.concatenate([none, f * (1 - f), none], axis=1)
+    like = np.maximum(full[at, grade + 1] - full[at, grade], 1e-12)
+    hi, lo = slope[at, grade + 1] / like, slope[at, grade] / like
+    by_theta = np.array([lo[grade == k].sum() - hi[grade == k - 1].sum() for k in range(1, GRADES)])
+    tail = np.cumsum(by_theta[::-1])[::-1]
+    by_free = np.concatenate([tail[:1], tail[1:] * np.exp(free[1:])])
+    return float(-np.log(like).sum()), np.concatenate([np.bincount(cols, values * (hi - lo)[rows], n_features), by_free])
+
+
+def minimise(evaluate: Callable[[np.ndarray], tuple[float, np.ndarray]], p: np.ndarray, rounds: int = 40, memory: int = 8, least: float = 1e-4) -> np.ndarray:
+    """L-BFGS with a halving line search, until a round gains less than ``least`` of the loss."""
+    loss, g = evaluate(p)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        q, alphas = g.copy(), []
+        for s, y in reversed(steps):
+            alphas.append((s @ q) / (s @ y))
+            q -= alphas[-1] * y
+        q *= (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(g).max())
+        for (s, y), a in zip(steps, reversed(alphas)):
+            q += (a - (y @ q) / (s @ y)) * s
+        size, slope = 1.0, g @ q
+        while True:
+            new_p = p - size * q
+            new_loss, new_g = evaluate(new_p)
+            if new_loss <= loss - 1e-4 * size * slope or size < 1e-6:
+                break
+            size /= 2
+        if new_loss >= loss:
+            break
+        if (new_p - p) @ (new_g - g) > 1e-12:
+            steps = [*steps[-memory + 1 :], (new_p - p, new_g - g)]
+        gain = loss - new_loss
+        p, loss, g = new_p, new_loss, new_g
+        if gain < least * abs(loss):
+            break
+    return p
+
+
+def learn_ordinal(parts: Callable[[np.ndarray], tuple[float, np.ndarray]], n: int, n_features: int, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) for the least mean loss; ``parts`` sums ``ordinal_loss`` over the ``n`` documents."""
+
+    def evaluate(p: np.ndarray) -> tuple[float, np.ndarray]:
+        loss, g = parts(p)
+        w = np.concatenate([p[:n_features], np.zeros(GRADES - 1)])
+        return loss / n + l2 / 2 * float(w @ w), g / n + l2 * w
+
+    p = minimise(evaluate, np.concatenate([np.zeros(n_features), [1.0], np.zeros(GRADES - 2)]))
+    return p[:n_features], thresholds(p[n_features:])
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, most_labelled: int = 20_000, least_chi: float = 15.0) -> OrdinalModel:
+    """Learn from at most ``most_labelled`` labelled documents, whole texts.
 
     Without a toxic label there are no features and nothing is toxic.
     """
+    spark = docs.sparkSession
     sample = cut(labelled_sample(docs, labels, label, most_labelled, learn), "toxic_sample")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             for y, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-                found = list({f for w in set(words(text)) for f in feature_names(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([y] * len(found), pa.int32())], names=["word", "label"])
+                found = list({f for w in set(words(text)) for f in word_features(w)})
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([y] * len(found), pa.int32())], names=["feature", "label"])
 
     n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    seen = sample.select("label", "text").mapInArrow(distinct, "word binary, label int")
-    seen = seen.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("df")).where("df >= 2")
-    # chi-square of word presence against the label
+    seen = sample.select("label", "text").mapInArrow(distinct, "feature int, label int")
+    seen = seen.groupBy("feature").agg(F.sum("label").alias("bad"), F.count("*").alias("df")).where("df >= 2")
+    # chi-square of a feature's presence against the label
     expected = F.col("df") * float(n["bad"] / max(1, n["n"]))
     chi = (F.col("bad") - expected) ** 2 / F.greatest(expected * (1 - F.col("df") / float(max(1, n["n"]) + 1)), F.lit(1e-9))
-    top = seen.withColumn("chi", F.round(chi, 9)).where(F.col("chi") > least_chi).orderBy(F.desc("chi"), "word").limit(most_features).collect() if n["bad"] else []
-    vocabulary = {bytes(r["word"]): i for i, r in enumerate(top)}
-    if not vocabulary:
+    used = seen.where(F.round(chi, 9) > least_chi).select("feature", "bad", "df").toPandas().sort_values("feature") if n["bad"] else None
+    if used is None or not len(used):
         return OrdinalModel({}, np.zeros(0), np.array([20.0 + k for k in range(GRADES - 1)]))
-    blank = OrdinalModel(vocabulary, np.zeros(len(vocabulary)), np.zeros(GRADES - 1))
+    rate = n["bad"] / n["n"]
+    place = {int(f): i for i, f in enumerate(used["feature"])}
+    marks = (used["bad"] > 2 * rate * used["df"]).to_numpy(np.float64)  # features that stand out in toxic documents
+    blank = spark.sparkContext.broadcast((OrdinalModel(place, np.zeros(len(place)), np.zeros(GRADES - 1)), marks))
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        model, marks = blank.value
         for b in slices(batches):
-            found = [blank.features(t, cache) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))],
-                names=["doc_id", "label", "at", "value"],
-            )
-
-    got = sample.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label int, at array<int>, value array<double>").toPandas().sort_values("doc_id")
-    sizes = got["at"].map(len).to_numpy()
-    rows = np.repeat(np.arange(len(got)), sizes)
-    cols = np.concatenate([*got["at"], np.empty(0, np.int32)]).astype(np.int64)
-    values = np.concatenate([*got["value"], np.empty(0)])
-    rate = n["bad"] / n["n"]
-    marks = np.array([r["bad"] > 2 * rate * r["df"] for r in top], float)  # words that stand out in toxic documents
-    strength = np.bincount(rows, values * marks[cols], len(got))
-    toxic = got["label"].to_numpy() > 0
-    edges = np.quantile(strength[toxic], np.arange(1, GRADES - 1) / (GRADES - 1)) if toxic.any() else []
-    grade = np.where(toxic, 1 + np.searchsorted(edges, strength, side="left"), 0)
-    return OrdinalModel(vocabulary, *learn_ordinal(rows, cols, values, grade, len(vocabulary)))
+            found = [model.features(t, cache) for t in b.column("text").to_pylist()]
+            strength = [float(marks[x] @ np.array(v)) if x else 0.0 for x, v in found]
+            columns = [b.column("doc_id"), b.column("label"), pa.array(strength, pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "strength", "at", "value"])
+
+    rows = cut(sample.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label int, strength double, at array<int>, value array<double>"), "toxic_features")
+    strengths = np.sort(rows.where("label > 0").select("strength").toPandas()["strength"].to_numpy())
+    edges = np.quantile(strengths, np.arange(1, GRADES - 1) / (GRADES - 1))
+
+    def total(p: np.ndarray) -> tuple[float, np.ndarray]:
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, g = 0.0, np.zeros(len(p))
+            for b in slices(batches, 2048):
+                strength, label = b.column("strength").to_numpy(), b.column("label").to_numpy()
+                grade = np.where(label > 0, 1 + np.searchsorted(edges, strength, side="left"), 0)
+                sizes = np.diff(b.column("at").offsets.to_numpy())
+                cols, values = (b.column(c).flatten().to_numpy() for c in ("at", "value"))
+                more = ordinal_loss(p, np.repeat(np.arange(b.num_rows), sizes), cols, values, grade)
+                loss, g = loss + more[0], g + more[1]
+            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([g.tobytes()], pa.binary())], names=["loss", "g"])
+
+        found = rows.select("label", "strength", "at", "value").mapInArrow(partial, "loss double, g binary").toArrow()
+        return float(sum(found.column("loss").to_pylist())), sum(np.frombuffer(x, np.float64) for x in found.column("g").to_pylist())
+
+    return OrdinalModel(place, *learn_ordinal(total, n["n"], len(place)))
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False) -> DataFrame:
@@ -168,7 +225,11 @@ def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the model does not call toxic, all columns as they were."""
+    """The rows of ``docs`` that the model does not call toxic, all columns as they were.
+
+    Null and empty texts have no features and stay; repeated rows stay or go
+    together; without documents there are no rows, without toxic labels all stay.
+    """
     model = fit_toxicity(docs, labels)
     names = docs.columns
     held = docs.withColumnsRenamed({c: f"__{c}" for c in ("expected_severity", "grade", "toxic") if c in names})
