@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import http.server
 import math
+import pathlib
 import struct
+import threading
 
 import fixtures_catalog as fx
 import numpy as np
@@ -19,7 +22,7 @@ from treecat.operators import homogeneity, stats
 from treecat.operators.levels import q
 from treecat.operators.ranges import plan_ranges
 from treecat.schema import TreeSchema, merge
-from treecat.sources import archive, cache, detect
+from treecat.sources import archive, cache, collection, detect, files, streams
 
 
 @pytest.fixture(scope="module")
@@ -83,10 +86,148 @@ def test_detection(spark, where):
     assert detect.detect_root_first(spark, where["flat"]) == C.PLAIN
 
 
-def test_archive_reads_row_groups_in_parallel_and_prunes_columns(load):
-    df = load("zip").levels[2]
-    assert df.select("id").rdd.getNumPartitions() == math.ceil(72 / 7)
-    assert df.agg(F.sum("pressure")).first()[0] == 12 * sum(100 * (s + 1) + k for s in range(3) for k in range(2))
+def test_archive_reads_row_groups_in_parallel(load, where, monkeypatch):
+    part = [where["zip"], *archive.entries_of(where["zip"])[2]]
+    groups = lambda: [p.groups for p in archive._Reader([part], ["id"], None).partitions()]
+    assert groups() == [list(range(math.ceil(72 / 7)))]  # small ones together
+    monkeypatch.setattr(archive, "TASK_BYTES", 1)
+    assert groups() == [[g] for g in range(math.ceil(72 / 7))]
+    assert load("zip").levels[2].agg(F.sum("pressure")).first()[0] == 12 * sum(100 * (s + 1) + k for s in range(3) for k in range(2))
+
+
+def _reads(part, columns, filters=()):
+    """(row group, columns, requests) of a read of an archive's level, in this process."""
+    reader = archive._Reader([part], columns, None)
+    assert list(reader.pushFilters(list(filters))) == list(filters)  # Spark applies them again
+    archive.READS.clear()
+    rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+    return rows, [x[2:] for x in archive.READS]
+
+
+def test_archive_reads_only_what_is_asked_for(where):
+    offset, size = archive.entries_of(where["zip"])[2]
+    part = [where["zip"], offset, size]
+    rows, reads = _reads(part, ["id", "pressure"])
+    assert len(rows) == 72 and set(rows[0]) == {"id", "pressure"} and len(reads) == math.ceil(72 / 7)
+    assert {r[1] for r in reads} == {("id", "pressure")} and all(1 <= r[2] <= 2 for r in reads)
+    current, by_range = archive.GreaterThanOrEqual((C.CURRENT_ID,), 60), archive.LessThan((C.CURRENT_ID,), 65)
+    rows, reads = _reads(part, [C.CURRENT_ID], [current, by_range])
+    assert [r[0] for r in reads] == [8, 9] and {60, 61, 62, 63, 64} <= {r[C.CURRENT_ID] for r in rows}
+    assert _reads(part, ["id"], [archive.EqualTo((C.CURRENT_ID,), 1000)]) == ([], [])
+    assert len(_reads(part, ["id"], [archive.EqualTo((C.CURRENT_ID,), "text"), archive.In(("none",), (1,))])[0]) == 72
+
+
+def test_archive_requests_stay_within_the_wanted_columns(where):
+    """Bytes that are fetched, against the chunks of the wanted columns."""
+    import io
+
+    offset, size = archive.entries_of(where["zip"])[2]
+    fetched = []
+
+    class Spy(io.FileIO):
+        def read(self, n=-1):
+            fetched.append((self.tell(), n))
+            return super().read(n)
+
+    with Spy(where["zip"]) as stream:
+        meta = archive._parquet(stream, offset, size).metadata
+        wanted = archive.chunk_ranges(meta, 3, ["id", "pressure"])
+        fetched.clear()
+        _, requests = archive.prefetched(stream, offset, size, wanted)
+    assert len(wanted) == 2 and len(fetched) == requests and sum(n for _, n in fetched) < size / 4
+    assert all(any(at - offset <= a and a + n <= at - offset + m for at, m in fetched) for a, n in wanted)
+
+
+def test_archive_filters_and_columns_through_spark(spark, load):
+    d = load("zip", columns={2: ["pressure"]})
+    assert C.STATS_COLUMNS[0] not in d.levels[2].columns and "pressure" in d.levels[2].columns and d.data.read(0).read(0).read(1).endswith("deep.zip")
+    found = d.levels[2].where("pressure = 301 AND `internal:current_id` >= 60")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual" in plan or "internal:current_id" in plan
+    assert found.count() == 2
+    assert load("nested", columns={0: ["basin_km2"]}).levels[0].where("basin_km2 > 3000").count() == 1
+
+
+class _Ranges(http.server.BaseHTTPRequestHandler):
+    """Files of a folder by byte ranges alone."""
+
+    def _raw(self):
+        return (self.server.home / self.path.lstrip("/")).read_bytes()
+
+    def do_HEAD(self):
+        self.send_response(200)
+        self.send_header("Content-Length", str(len(self._raw())))
+        self.end_headers()
+
+    def do_GET(self):
+        a, b = map(int, self.headers["Range"].removeprefix("bytes=").split("-"))
+        body = self._raw()[a : b + 1]
+        self.send_response(206)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *_):
+        pass
+
+
+def test_archive_over_http(spark, where):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Ranges)
+    server.home = pathlib.Path(where["zip"]).parent
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_address[1]}/deep.zip"
+        d = treecat.load(url, spark=spark)
+        assert d.n == 12 and d.levels[2].agg(F.sum("pressure")).first()[0] == load_local(spark, where)
+        assert d.levels[2].select(q(C.GDAL_VSI)).first()[0].endswith(f",/vsicurl/{url}")
+        with pytest.raises(StorageError):
+            treecat.load(url.replace("deep.zip", "none.zip"), spark=spark)
+    finally:
+        server.shutdown()
+
+
+def load_local(spark, where):
+    return treecat.load(where["zip"], spark=spark).levels[2].agg(F.sum("pressure")).first()[0]
+
+
+def test_streams_know_the_schemes(tmp_path, monkeypatch):
+    monkeypatch.setenv("AWS_REGION", "eu-west-1")
+    (tmp_path / "x y").write_bytes(b"0123456789")
+    for path in (str(tmp_path / "x y"), f"file:{tmp_path}/x%20y", f"file://{tmp_path}/x%20y"):
+        with streams.open_input(path) as f:
+            f.seek(3)
+            assert f.read(4) == b"3456" and f.seek(0, 2) == 10
+    for scheme in ("s3a", "s3n", "s3"):
+        fs, inner = streams.file_system(f"{scheme}://bucket/key")
+        assert type(fs).__name__ == "S3FileSystem" and inner == "bucket/key"
+    with pytest.raises(StorageError):
+        streams.named("no function")
+
+
+def foreign_header(stream):
+    """Another maker's header: a magic, the number of entries, then text."""
+    assert stream.read(8) == b"FOREIGN1"
+    n = int(stream.read(4))
+    return [tuple(map(int, stream.read(24).split())) for _ in range(n)]
+
+
+def test_header_hook(spark, where, tmp_path):
+    raw = pathlib.Path(where["zip"]).read_bytes()
+    entries = archive.read_header(raw)
+    head = b"FOREIGN1" + f"{len(entries):4d}".encode() + b"".join(f"{a:12d}{n:12d}".encode() for a, n in entries)
+    (tmp_path / "f.zip").write_bytes(head.ljust(archive.HEADER, b" ") + raw[archive.HEADER :])
+    with pytest.raises(FormatError):
+        treecat.load(str(tmp_path / "f.zip"), spark=spark)
+    assert treecat.load(str(tmp_path / "f.zip"), spark=spark, header=f"{__name__}:foreign_header").levels[1].count() == 36
+
+
+def test_many_archives(spark, where, monkeypatch):
+    """Footers read by the driver or by tasks give the same rows."""
+    monkeypatch.setattr(archive, "FEW", 0)
+    assert [type(p.groups) for p in archive._Reader([[where["zip"], *archive.entries_of(where["zip"])[0]]], ["id"], None).partitions()] == [type(None)]
+    d = treecat.load([where["zip"], where["zip"]], spark=spark)
+    assert d.n == 24 and d.levels[2].count() == 144
+    assert archive.requests(where["zip"]) == [[0, 1, 2, 3]]
 
 
 def test_archive_header():
@@ -506,6 +647,19 @@ def test_cache(tmp_path, monkeypatch):
     assert cache.stats() == {"entries": 0, "bytes": 0}
 
 
+def test_remote_documents_are_cached_on_disk(spark, monkeypatch, tmp_path):
+    monkeypatch.setenv(cache.ENVIRONMENT, str(tmp_path / "c"))
+    reads, state = [], {"size": 2, "etag": "1"}
+    monkeypatch.setattr(files, "read_range", lambda spark, path, *a: reads.append(path) or b"{}")
+    monkeypatch.setattr(files, "version", lambda spark, path: dict(state))
+    for want in (1, 1):
+        collection.forget()
+        assert collection.read(spark, "s3a://b/c/COLLECTION.json") == {} and len(reads) == want
+    state["etag"] = "2"
+    collection.forget()
+    assert collection.read(spark, "s3a://b/c/COLLECTION.json") == {} and len(reads) == 2
+
+
 def test_text_and_html(load):
     d = load("deep").filter_datetime("2021-06-01/2021-06-28")
     assert "(filtered)" in repr(d) and "root samples: 4" in repr(d)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from treecat import legacy
 from treecat.constants import SOURCE_FILE
 from treecat.errors import FormatError, NavigationError
+from treecat.functions import paths as legacy_paths
 from treecat.legacy.container import BARE, FULL, KIND, LENGTH, NAME, OFFSET, POINTER
 from treecat.streaming.consolidate import daily_counts, stream_level
 
@@ -65,6 +66,35 @@ def test_compile(spark, files, tmp_path):
     assert legacy.read(legacy.read(back, "s3"), "x") == b"inner"
 
 
+def test_compile_in_many_tasks(spark, tmp_path):
+    blocks = [(f"s{i:03d}", "BYTES", bytes([i % 251]) * (i % 37)) for i in range(300)]
+    (tmp_path / "many.tortilla").write_bytes(container(blocks))
+    rows = legacy.load(str(tmp_path / "many.tortilla"), spark).repartition(7)
+    kept = rows.where(f"int(substring(`{NAME}`, 2)) % 3 <> 0")
+    back = legacy.load(legacy.compile_subset(kept, str(tmp_path / "less.tortilla"), chunk=5), spark)
+    raw = (tmp_path / "less.tortilla").read_bytes()
+    found = {r[NAME]: raw[r[OFFSET] : r[OFFSET] + r[LENGTH]] for r in back.select(f"`{NAME}`", f"`{OFFSET}`", f"`{LENGTH}`").collect()}
+    assert found == {n: data for n, _, data in blocks if int(n[1:]) % 3}
+    ends = sorted((r[OFFSET], r[OFFSET] + r[LENGTH]) for r in back.select(f"`{OFFSET}`", f"`{LENGTH}`").collect())
+    assert ends[0][0] == 200 and all(a[1] == b[0] for a, b in zip(ends, ends[1:]))
+
+
+def test_sanity_checks_go_into_containers(spark, tmp_path):
+    deepest = container([("bad", "BYTES", b"zz"), ("good", "BYTES", b"1")])
+    inner = container([("x", "BYTES", b"inner"), ("deep", "TORTILLA", deepest)])
+    (tmp_path / "n.tortilla").write_bytes(container([("top", "BYTES", b"0"), ("in", "TORTILLA", inner), ("torn", "TORTILLA", b"not a container at all")]))
+
+    def check(pointer):
+        root, offset, size = legacy_paths.parse_subfile(pointer)
+        with open(root, "rb") as f:
+            f.seek(offset)
+            if f.read(size) == b"zz":
+                raise OSError("broken")
+
+    found = dict(map(tuple, legacy.sanity_check(legacy.load(str(tmp_path / "n.tortilla"), spark), check).collect()))
+    assert found["in/deep/bad"] == "OSError: broken" and found.keys() == {"in/deep/bad", "torn"}
+
+
 def test_sanity_and_text(spark, files):
     rows = legacy.load(files[0], spark)
 

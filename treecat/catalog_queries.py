@@ -7,15 +7,22 @@ part, H4 the flat events.
 
 from __future__ import annotations
 
+import io
+import struct
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from . import constants as C
 from .dataset import Dataset, from_levels
+from .errors import TreecatError
 from .functions import geo
 from .functions.paths import subfile, subfile_parts
-from .legacy.container import NAME, POINTER
+from .legacy.container import BARE, KIND, LENGTH, NAME, OFFSET, POINTER, load as load_containers
 from .legacy.sanity import sanity_check
 from .legacy.text import points
 from .loader import load
@@ -24,7 +31,7 @@ from .operators.concat import concat
 from .operators.levels import q, with_pointer, without_padding
 from .operators.ranges import coalesce_ranges, running_offset
 from .sources import files
-from .sources.archive import archive_bytes
+from .sources.export import write_archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -103,14 +110,17 @@ LON, LAT = "({k} * 7919 % 36000) / {u} - 180", "({k} * 104729 % 18000) / {u} - 9
 LON_SQL, LAT_SQL = (x.format(k="{k}", u="100.0") for x in (LON, LAT))
 
 
-def _points(df: DataFrame, key: str) -> DataFrame:
-    """``df`` with a WKB point for each key."""
+def _points(df: DataFrame, key: str, boxes: bool = False) -> DataFrame:
+    """``df`` with a WKB point for each key, or a box of two degrees around it."""
 
     @F.pandas_udf(T.BinaryType())
-    def wkb(x, y):
-        import pandas as pd
-
-        return pd.Series([geo.point_wkb(a, b) for a, b in zip(x, y)])
+    def wkb(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = x.to_numpy(), y.to_numpy()
+        corners = [(x - 1, y - 1), (x + 1, y - 1), (x + 1, y + 1), (x - 1, y + 1), (x - 1, y - 1)] if boxes else [(x, y)]
+        head = np.frombuffer((geo.box_wkb(0, 0, 0, 0)[:13] if boxes else geo.point_wkb(0, 0)[:5]), np.uint8)
+        body = np.stack([c for xy in corners for c in xy], axis=1).astype("<f8").view(np.uint8)
+        rows = np.concatenate([np.tile(head, (len(x), 1)), body], axis=1)
+        return pd.Series(list(map(bytes, rows)))
 
     lon, lat = (F.expr(x.format(k=key, u="100D")) for x in (LON, LAT))
     return df.withColumn("istac:geometry", wkb(lon, lat))
@@ -283,6 +293,14 @@ def bbox_cascade_l2(spark, sf_dir):
     return spatial_h2(spark, sf_dir).filter_bbox(*SMALL, level=2).current.select(C.ID)
 
 
+@query(f"SELECT c_name AS id FROM customer WHERE {LON_SQL.format(k='c_custkey')} BETWEEN -31 AND 61 AND {LAT_SQL.format(k='c_custkey')} BETWEEN -21 AND 46")
+def bbox_polygons(spark, sf_dir):
+    """Boxes of two degrees that meet the box, not points in it."""
+    d = h2(spark, sf_dir)
+    rows = _points(d.levels[0], f"`{C.CURRENT_ID}`", boxes=True)
+    return d.replace(levels={**d.levels, 0: rows}, current=rows).filter_bbox(*BOX).current.select(C.ID)
+
+
 # --- cascades ----------------------------------------------------------------------
 
 _JANUARY = "CAST({} AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1995-01-10'"
@@ -393,6 +411,22 @@ for _what, _sql in _AGGREGATES_SQL.items():
     query(f"{_CELLS_SQL} SELECT band, round({_sql}, 3) AS value FROM o GROUP BY band")(_stats_query(_what))
 
 
+@query(f"{_CELLS_SQL} SELECT band, round(avg(p50), 3) AS value FROM o GROUP BY band")
+def stats_median(spark, sf_dir):
+    """The method's own name for the 50th percentile, all bands in one list."""
+    d = stats_tree(spark, sf_dir)
+    found = d.replace(current=d.levels[1]).stats_median([0, 1])
+    return spark.createDataFrame([(n, round(float(v), 3)) for n, v in enumerate(found)], "band int, value double").withColumn("value", F.round("value", 3))
+
+
+@query(f"{_CELLS_SQL} SELECT 1 - band AS place, min(mn) AS value FROM o GROUP BY band")
+def stats_band_order(spark, sf_dir):
+    """Bands in the order they are asked for."""
+    d = stats_tree(spark, sf_dir)
+    found = d.replace(current=d.levels[1]).stats_min([1, 0])
+    return spark.createDataFrame([(n, float(v)) for n, v in enumerate(found)], "place int, value double")
+
+
 @query(f"""{_CELLS_SQL} SELECT band, round(sum(w * m) / sum(w), 3) AS value FROM o JOIN orders ON o_orderkey = l_orderkey
 JOIN customer ON c_custkey = o_custkey WHERE c_name = (SELECT min(c_name) FROM customer) GROUP BY band""")
 def stats_by_parent(spark, sf_dir):
@@ -544,26 +578,37 @@ def scan_consolidated(spark, sf_dir):
     return again.levels[1].select(C.ID, q(C.SOURCE_FILE).alias("source"), pointer.alias("pointer"))
 
 
-@query("SELECT n_name AS id, r_name AS region FROM nation JOIN region ON r_regionkey = n_regionkey")
+@query("""
+SELECT 'o' || o_orderkey AS id, o_totalprice, count(*) AS n, CAST(sum(l_linenumber) AS BIGINT) AS total FROM orders JOIN lineitem ON l_orderkey = o_orderkey
+WHERE o_totalprice > 150000 GROUP BY o_orderkey, o_totalprice""")
 def scan_archive(spark, sf_dir):
-    """Regions and nations in a single-file archive, read row group by row group."""
-    import io
-    import json
-
-    import pyarrow.parquet as pq
-
-    def level(df: DataFrame) -> bytes:
-        out = io.BytesIO()
-        rows = df.withColumns({C.OFFSET: F.lit(0).cast("long"), C.SIZE: F.lit(1).cast("long")}).drop(C.GDAL_VSI).toArrow()
-        pq.write_table(rows, out, row_group_size=4)
-        return out.getvalue()
-
-    regions = read(spark, sf_dir, "region").select(*_node(C.FOLDER, "r_name", "r_regionkey"))
-    nations = read(spark, sf_dir, "nation").select(*_node(C.FILE, "n_name", "n_nationkey", "n_regionkey"))
-    path = files.scratch(spark, "archive") + ".zip"
-    files.write(spark, path, archive_bytes([level(regions), level(nations)], json.dumps(_document(C.FOLDER, [C.FILE])).encode()))
-    d = load(path, spark=spark)
-    return d.sql("""SELECT n.id, d.id AS region FROM data d JOIN level1 n ON n."internal:parent_id" = d."internal:current_id" """).current
+    """Orders and line items in one archive, read by row groups and byte ranges, with the columns that are named."""
+    place = [F.lit(0).cast("long").alias(C.OFFSET), F.lit(1).cast("long").alias(C.SIZE)]
+    orders = read(spark, sf_dir, "orders").select(*_node(C.FOLDER, "concat('o', o_orderkey)", "o_orderkey"), *place, "o_totalprice", "o_orderdate")
+    lines = read(spark, sf_dir, "lineitem").select(*_node(C.FILE, "concat('l', l_orderkey, '_', l_linenumber)", "l_orderkey * 10 + l_linenumber", "l_orderkey"), *place, "l_linenumber", "l_quantity", "l_shipdate")
+    path = write_archive(spark, files.scratch(spark, "archive") + ".zip", [orders, lines], _document(C.FOLDER, [C.FILE]), row_group=1 << 20)
+    d = load(path, spark=spark, columns={0: ["o_totalprice"], 1: ["l_linenumber"]})
+    return d.sql("""
+        SELECT o.id, o_totalprice, count(*) AS n, sum(l_linenumber) AS total FROM data o JOIN level1 l ON l."internal:parent_id" = o."internal:current_id"
+        WHERE o_totalprice > 150000 GROUP BY o.id, o."internal:current_id", o_totalprice""").current
+
+
+@query("SELECT n_name AS id, CAST(n_regionkey AS INTEGER) AS region, CAST(3 * length(n_name) AS INTEGER) AS size FROM nation ORDER BY n_name")
+def v1_load(spark, sf_dir):
+    """Nations in one first-generation container for each region, loaded together; an unreadable file is left out."""
+    nations = read(spark, sf_dir, "nation").select("n_name", "n_regionkey", (3 * F.length("n_name")).alias("size")).orderBy("n_nationkey").toPandas()
+    paths = []
+    for region, rows in nations.groupby("n_regionkey"):
+        footer = pa.table({NAME: rows["n_name"], KIND: ["BYTES"] * len(rows), OFFSET: np.cumsum(rows["size"]).to_numpy() - rows["size"].to_numpy() + 200, LENGTH: rows["size"].astype("int64"), "region": [int(region)] * len(rows)})
+        raw, at = io.BytesIO(), 200 + int(rows["size"].sum())
+        pq.write_table(footer, raw)
+        body = (BARE + struct.pack("<QQ", at, len(raw.getvalue()))).ljust(at, b"\0") + raw.getvalue()
+        paths.append(files.scratch(spark, "container") + ".tortilla")
+        files.write(spark, paths[-1], body)
+    paths.append(files.scratch(spark, "broken") + ".tortilla")
+    files.write(spark, paths[-1], b"nothing of the kind, at some length")
+    found = load_containers(paths, spark)
+    return found.select(q(NAME).alias("id"), F.col("region").cast("int").alias("region"), subfile_parts(q(POINTER))[2].cast("int").alias("size"))
 
 
 @query("SELECT 'o' || o_orderkey AS id, 'ValueError: odd' AS error FROM orders WHERE o_orderkey % 100 = 7")
@@ -578,6 +623,89 @@ def v1_sanity_check(spark, sf_dir):
     return sanity_check(rows, check)
 
 
+# --- metadata, checks, flags -------------------------------------------------------------------
+
+
+def _values(columns: str, rows: list[tuple]) -> str:
+    said = lambda v: "true" if v is True else "false" if v is False else f"'{v}'"
+    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS t({columns})"
+
+
+_NAVIGATION = [("folder", c) for c in ("id", "internal:current_id", "type")] + [("parts", c) for c in ("id", "internal:current_id", "internal:offset", "internal:size", "internal:source_file", "type")]
+
+
+@query(_values("layout, name", _NAVIGATION))
+def navigation_columns(spark, sf_dir):
+    made = {"folder": h2(spark, sf_dir), "parts": h3(spark, sf_dir)}
+    return spark.createDataFrame([(k, c) for k, d in made.items() for c in d.navigation_columns()], "layout string, name string")
+
+
+@query(_values("level, name", [("0", c) for c in ("id", "type", "internal:current_id", "internal:gdal_vsi")] + [("1", c) for c in ("id", "type", "internal:current_id", "internal:parent_id", "internal:gdal_vsi")] + [("2", c) for c in ("id", "type", "internal:current_id", "internal:parent_id", "internal:gdal_vsi", "c_acctbal", "c_mktsegment")]))
+def level_columns(spark, sf_dir):
+    d = h1(spark, sf_dir)
+    return spark.createDataFrame([(str(n), c) for n in range(d.max_depth + 1) for c in d.columns(n)], "level string, name string")
+
+
+@query("SELECT n_name AS id FROM nation WHERE n_nationkey % 5 <> 0")
+def display_padding(spark, sf_dir):
+    """Rows with the padding mark anywhere in the id are not shown."""
+    d = h1(spark, sf_dir)
+    named = F.when(q(C.CURRENT_ID) % 5 == 0, F.concat(F.lit("x"), F.lit(C.PADDING_PREFIX), q(C.ID))).otherwise(q(C.ID))
+    return d.replace(current=d.levels[1].withColumn(C.ID, named)).data.without_padding().df.select(C.ID)
+
+
+_FLAGS = {"loaded": True, "filtered by sql": True, "sql without a navigation column": False, "sql over a deeper level": False, "sub-query over a deeper level": False, "date filter at the root": True, "root filter after a deeper level": False}
+
+
+@query(_values('"case", homogeneous', list(_FLAGS.items())))
+def rsut_flags(spark, sf_dir):
+    d = h2(spark, sf_dir)
+    joined = d.sql("""SELECT d.* FROM data d JOIN level1 o ON o."internal:parent_id" = d."internal:current_id" """)
+    made = [
+        d, d.sql("SELECT * FROM data WHERE c_acctbal > 0"), d.sql("SELECT id, c_acctbal FROM data"), joined,
+        d.sql("""SELECT * FROM data WHERE "internal:current_id" IN (SELECT "internal:parent_id" FROM level1)"""),
+        h4(spark, sf_dir).filter_datetime("2024-01-01/2024-12-31"), joined.sql("SELECT * FROM data"),
+    ]
+    return spark.createDataFrame([(k, x.is_rsut()) for k, x in zip(_FLAGS, made)], "case string, homogeneous boolean")
+
+
+@query(_values('"case", levels', [("none", ""), ("join", "1"), ("sub-query", "2"), ("cascade", "1,2"), ("join then cascade", "1,2")]))
+def joined_levels(spark, sf_dir):
+    d = h2(spark, sf_dir)
+    join = d.sql("""SELECT d.* FROM data d JOIN level1 o ON o."internal:parent_id" = d."internal:current_id" """)
+    deep = """SELECT * FROM data WHERE EXISTS (SELECT 1 FROM level2 WHERE l_quantity > 49)"""
+    made = {"none": d, "join": join, "sub-query": d.sql(deep), "cascade": d.filter_datetime("1995-01-01/1995-01-10", level=2), "join then cascade": join.filter_datetime("1995-01-01/1995-01-10", level=2)}
+    return spark.createDataFrame([(k, ",".join(map(str, sorted(x.joined)))) for k, x in made.items()], "case string, levels string")
+
+
+_RAISED = [
+    ("band out of range", "QueryError"), ("box level too deep", "QueryError"), ("concat of one", "QueryError"), ("concat of other trees", "SchemaError"), ("concat without a critical column", "SchemaError"),
+    ("categories as numbers", "QueryError"), ("date level too deep", "QueryError"), ("mixed cells", "QueryError"), ("no statistics column", "QueryError"), ("parent not named", "QueryError"), ("strict columns", "SchemaError"), ("unknown column mode", "QueryError"),
+]
+
+
+@query(_values('"case", error', _RAISED))
+def checks_raise(spark, sf_dir):
+    """What each misuse raises."""
+    two, one, cells = h2(spark, sf_dir), h1(spark, sf_dir), stats_tree(spark, sf_dir)
+    extra = two.replace(current=two.current.withColumn("extra", F.lit(1)))
+    shares = spark.createDataFrame([([[0.5, 0.5]],), ([[0.2, 0.3, 0.5]],), ([[0.0] * 9],)], f"`{C.STATS_COLUMNS[0]}` array<array<float>>")
+    made = {
+        "band out of range": lambda: stats.pick(np.zeros(2), 2), "box level too deep": lambda: spatial_h2(spark, sf_dir).filter_bbox(0, 0, 1, 1, level=3),
+        "concat of one": lambda: concat([two]), "concat of other trees": lambda: concat([two, h4(spark, sf_dir)]), "concat without a critical column": lambda: concat([two, two.replace(current=two.current.drop(C.TYPE))]),
+        "categories as numbers": lambda: stats.check_kind(shares.limit(1), True), "date level too deep": lambda: two.filter_datetime("1995-01-01", level=3), "mixed cells": lambda: stats.check_kind(shares, False),
+        "no statistics column": lambda: two.stats_mean(0), "parent not named": lambda: cells.stats_mean(0, level=1), "strict columns": lambda: concat([two, extra], "strict"), "unknown column mode": lambda: concat([one, one], "x"),
+    }
+    found = []
+    for case, call in made.items():
+        try:
+            call()
+            found.append((case, "none"))
+        except TreecatError as e:
+            found.append((case, type(e).__name__))
+    return spark.createDataFrame(found, "case string, error string")
+
+
 # --- byte ranges and legacy ------------------------------------------------------------------
 
 

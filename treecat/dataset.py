@@ -201,39 +201,6 @@ class Dataset:
         stats.stats_column(df.columns)
         return stats.pick(stats.aggregate(df, what), band)
 
-    def stats_mean(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        """Pixel-weighted mean."""
-        return self._stat("mean", band, level, id, scope)
-
-    def stats_std(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        """Pooled standard deviation."""
-        return self._stat("std", band, level, id, scope)
-
-    def stats_min(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        return self._stat("min", band, level, id, scope)
-
-    def stats_max(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        return self._stat("max", band, level, id, scope)
-
-    def stats_p25(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        """Plain mean of the samples' percentiles, as for the others."""
-        return self._stat("p25", band, level, id, scope)
-
-    def stats_p50(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        return self._stat("p50", band, level, id, scope)
-
-    stats_median = stats_p50
-
-    def stats_p75(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        return self._stat("p75", band, level, id, scope)
-
-    def stats_p95(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        return self._stat("p95", band, level, id, scope)
-
-    def stats_categorical(self, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
-        """Pixel-weighted mean share of each class."""
-        return self._stat("categorical", band, level, id, scope)
-
     def write(self, path: str) -> str:
         """The selection and all below it as a catalog of its own."""
         from .sources.export import write_catalog
@@ -269,6 +236,23 @@ class Dataset:
         return html(self)
 
 
+def _statistic(what: str, text: str) -> Callable:
+    def method(self: Dataset, band: int | list[int], level: int = 0, id: str | None = None, scope: str = "current"):
+        return self._stat(what, band, level, id, scope)
+
+    method.__name__, method.__doc__ = f"stats_{what}", text
+    return method
+
+
+_PLAIN_MEAN = "Plain mean of the samples' percentiles."
+for _what, _text in {
+    "mean": "Pixel-weighted mean.", "std": "Pooled standard deviation.", "min": "Least value.", "max": "Greatest value.",
+    "p25": _PLAIN_MEAN, "p50": _PLAIN_MEAN, "p75": _PLAIN_MEAN, "p95": _PLAIN_MEAN, "categorical": "Pixel-weighted mean share of each class.",
+}.items():
+    setattr(Dataset, f"stats_{_what}", _statistic(_what, _text))
+Dataset.stats_median = Dataset.stats_p50
+
+
 def from_levels(spark: SparkSession, document: dict, raw: dict[int, DataFrame], kind: str, path: str, root: str, backend: str = "arrow") -> Dataset:
     """A dataset over raw level tables: padding hidden, pointers added."""
     from .functions.paths import to_vsi

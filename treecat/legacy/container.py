@@ -6,8 +6,10 @@ import io
 import json
 import struct
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,7 +28,18 @@ POINTER = "internal:subfile"
 PREFIXES = ("internal:", "tortilla:", "stac:", "rai:")
 
 
-def _footer(spark: SparkSession, path: str, start: int = 0):
+def footer_of(stream, start: int = 0) -> pa.Table:
+    """The sample list of the container that begins at ``start`` of a seekable stream."""
+    stream.seek(start)
+    head = stream.read(18)
+    if head[:2] not in (BARE, FULL):
+        raise FormatError("the bytes do not open with a container's magic")
+    offset, length = struct.unpack_from("<QQ", head, FOOTER_AT)
+    stream.seek(start + offset)
+    return pq.read_table(io.BytesIO(stream.read(length)))
+
+
+def _footer(spark: SparkSession, path: str, start: int = 0) -> pa.Table:
     head = files.read_range(spark, path, start, 18)
     if head[:2] not in (BARE, FULL):
         raise FormatError(f"{path} does not open with a container's magic")
@@ -52,12 +65,16 @@ def load(paths: str | Sequence[str], spark: SparkSession | None = None) -> DataF
     spark = spark or SparkSession.builder.getOrCreate()
     if isinstance(paths, str):
         return _one(spark, paths)
-    found = []
-    for p in paths:
+
+    def one(path: str) -> DataFrame | None:
         try:
-            found.append(_one(spark, p))
+            return _one(spark, path)
         except TreecatError as e:
-            logger.warning("%s is left out: %s", p, e)
+            logger.warning("%s is left out: %s", path, e)
+            return None
+
+    with ThreadPoolExecutor(8) as pool:  # footers are small reads
+        found = [df for df in pool.map(one, paths) if df is not None]
     if not found:
         raise FormatError("none of the containers can be read")
     united = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)

@@ -5,25 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from ..functions.paths import from_vsi, parse_subfile
 from ..operators.levels import q
-from .container import NAME, POINTER
+from ..sources.streams import open_input
+from .container import KIND, LENGTH, NAME, NESTED, OFFSET, POINTER, footer_of
+
+
+def nested_samples(pointer: str) -> Iterator[tuple[str, str, str]]:
+    """(id, kind, pointer) of the samples of the container that a pointer leads to."""
+    root, start, _ = parse_subfile(pointer)
+    with open_input(from_vsi(root)) as stream:
+        rows = footer_of(stream, start).select([NAME, KIND, OFFSET, LENGTH]).to_pylist()
+    for r in rows:
+        yield r[NAME], r[KIND], f"/vsisubfile/{r[OFFSET] + start}_{r[LENGTH]},{root}"
 
 
 def sanity_check(samples: DataFrame, read_function: Callable[[str], object], partitions: int | None = None) -> DataFrame:
-    """``(id, error)`` of the samples whose pointer the function cannot read."""
-    rows = samples.select(q(NAME).alias("id"), q(POINTER).alias("pointer"))
+    """``(id, error)`` of the samples whose pointer the function cannot read.
+
+    Containers inside are opened and their samples checked, at any depth; such
+    a sample's id is the path of ids to it. A container that cannot be opened is
+    an error of its own.
+    """
+    kind = q(KIND) if KIND in samples.columns else F.lit(None).cast("string")
+    rows = samples.select(q(NAME).alias("id"), kind.alias("kind"), q(POINTER).alias("pointer"))
     rows = rows.repartition(partitions) if partitions else rows
 
+    def failures(name: str, kind: str | None, pointer: str) -> Iterator[tuple[str, str]]:
+        try:
+            if kind != NESTED:
+                read_function(pointer)
+                return
+            inside = list(nested_samples(pointer))
+        except Exception as e:  # noqa: BLE001  whatever the user's function raises is the finding
+            yield name, f"{type(e).__name__}: {e}"
+            return
+        for below, its, at in inside:
+            yield from failures(f"{name}/{below}", its, at)
+
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            failed = []
-            for name, pointer in zip(b["id"], b["pointer"]):
-                try:
-                    read_function(pointer)
-                except Exception as e:  # noqa: BLE001  whatever the user's function raises is the finding
-                    failed.append((name, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(failed, columns=["id", "error"])
+            found = [x for row in zip(b["id"], b["kind"], b["pointer"]) for x in failures(*row)]
+            yield pd.DataFrame(found, columns=["id", "error"])
 
     return rows.mapInPandas(check, "id string, error string")

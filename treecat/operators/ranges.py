@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as C
+from ..sources import files
 
 
 def coalesce_ranges(df: DataFrame, partition: list[str] | None = None, entry: str = "entry", offset: str = "offset", size: str = "size") -> DataFrame:
@@ -40,6 +41,22 @@ def plan_ranges(entries: list[tuple[int, int]]) -> list[list[int]]:
 
 
 def running_offset(df: DataFrame, order: str, length: str, start: int = 200, partition: list[str] | None = None, name: str = "new_offset") -> DataFrame:
-    """Where each block lands when blocks are packed in ``order`` behind a preamble of ``start`` bytes."""
-    w = Window.partitionBy(*(partition or [])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)) + start)
+    """Where each block lands when blocks are packed in ``order`` behind a preamble of ``start`` bytes.
+
+    Without ``partition`` all blocks go into one container: the range-sorted
+    rows are written once with their partition's number, and a partition starts
+    behind the lengths of those before it, so no task sees all rows.
+    """
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if partition:
+        w = before(Window.partitionBy(*partition).orderBy(order))
+        return df.withColumn(name, F.coalesce(F.sum(length).over(w), F.lit(0)) + start)
+    spark = df.sparkSession
+    path = files.scratch(spark, "offsets")
+    ranged = df.orderBy(order).withColumn("__row", F.monotonically_increasing_id())
+    ranged.write.parquet(path)
+    written = spark.read.schema(ranged.schema).parquet(path).withColumn("__part", F.shiftright("__row", 33))
+    sums = written.groupBy("__part").agg(F.sum(length).alias("__sum"))
+    starts = sums.select("__part", F.coalesce(F.sum("__sum").over(before(Window.orderBy("__part"))), F.lit(0)).alias("__start"))  # one row per sorted partition
+    inside = F.coalesce(F.sum(length).over(before(Window.partitionBy("__part").orderBy("__row"))), F.lit(0))
+    return written.withColumn("__inside", inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__start") + F.col("__inside") + start).drop("__part", "__row", "__inside", "__start")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,6 +12,8 @@ from ..constants import ORDER
 from ..errors import QueryError
 
 _QUOTES = "spark.sql.ansi.doubleQuotedIdentifiers"
+#: The setting belongs to the session: one query at a time is analysed with it.
+_analysing = threading.Lock()
 
 
 def _parsed(spark: SparkSession, query: str) -> str | None:
@@ -43,7 +46,11 @@ def run(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> tuple[
     Double quotes hold identifiers, as in ANSI SQL. The names bind inside this
     query alone. A final ORDER BY is kept as a hidden order column.
     """
-    query = query.strip().rstrip(";").strip()
+    with _analysing:
+        return _run(spark, query.strip().rstrip(";").strip(), tables)
+
+
+def _run(spark: SparkSession, query: str, tables: dict[str, DataFrame]) -> tuple[DataFrame, frozenset[int]]:
     was = spark.conf.get(_QUOTES, "false")
     spark.conf.set(_QUOTES, "true")
     views = {name: f"treecat_{uuid.uuid4().hex}" for name in tables}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as C
 from ..errors import FormatError, StorageError
+from ..operators.levels import q
 from . import archive, collection, files
 
 
@@ -17,8 +18,8 @@ class Backend(ABC):
     format: str
 
     @abstractmethod
-    def scan(self, spark: SparkSession, path: str) -> tuple[dict, dict[int, DataFrame]]:
-        """(collection document, raw level tables by number)."""
+    def scan(self, spark: SparkSession, path: str, columns: dict[int, list[str]] | None = None, **hooks: str | None) -> tuple[dict, dict[int, DataFrame]]:
+        """(collection document, raw level tables by number); ``columns`` are those wanted of a level, all if it is not named."""
 
     def root(self, path: str, base_path: str | None) -> str:
         """Where the samples' bytes are."""
@@ -27,12 +28,17 @@ class Backend(ABC):
         return path
 
 
+def chosen(levels: dict[int, DataFrame], columns: dict[int, list[str]] | None) -> dict[int, DataFrame]:
+    """The levels with their wanted columns alone."""
+    return {n: df.select(*(q(c) for c in df.columns if c in columns[n])) if n in (columns or {}) else df for n, df in levels.items()}
+
+
 class PlainFolder(Backend):
     """``COLLECTION.json`` and ``METADATA/level{n}.parquet``, up to the first gap."""
 
     format = C.PLAIN
 
-    def scan(self, spark: SparkSession, path: str) -> tuple[dict, dict[int, DataFrame]]:
+    def scan(self, spark: SparkSession, path: str, columns: dict[int, list[str]] | None = None, **hooks: str | None) -> tuple[dict, dict[int, DataFrame]]:
         document = collection.read(spark, files.join(path, C.COLLECTION))
         if not files.is_folder(spark, files.join(path, "METADATA")):
             raise StorageError(f"{path} has no METADATA folder")
@@ -44,7 +50,7 @@ class PlainFolder(Backend):
             levels[n] = spark.read.parquet(where)
         if not levels:
             raise StorageError(f"{path} has no level 0")
-        return document, levels
+        return document, chosen(levels, columns)
 
 
 class Consolidated(Backend):
@@ -52,13 +58,13 @@ class Consolidated(Backend):
 
     format = C.CONSOLIDATED
 
-    def scan(self, spark: SparkSession, path: str) -> tuple[dict, dict[int, DataFrame]]:
+    def scan(self, spark: SparkSession, path: str, columns: dict[int, list[str]] | None = None, **hooks: str | None) -> tuple[dict, dict[int, DataFrame]]:
         document = collection.read(spark, files.join(path, C.COLLECTION))
         names = {n: files.join(path, f"level{n}.parquet") for n in range(C.MAX_LEVELS)}
         levels = {n: spark.read.parquet(p) for n, p in names.items() if files.exists(spark, p)}
         if 0 not in levels:
             raise StorageError(f"{path} has no level 0")
-        return document, levels
+        return document, chosen(levels, columns)
 
     def root(self, path: str, base_path: str | None) -> str:
         if base_path is not None:
@@ -69,8 +75,8 @@ class Consolidated(Backend):
 class Archive(Backend):
     format = C.ARCHIVE
 
-    def scan(self, spark: SparkSession, path: str) -> tuple[dict, dict[int, DataFrame]]:
-        return archive.scan(spark, path)
+    def scan(self, spark: SparkSession, path: str, columns: dict[int, list[str]] | None = None, **hooks: str | None) -> tuple[dict, dict[int, DataFrame]]:
+        return archive.scan(spark, path, columns, **hooks)
 
 
 BACKENDS: dict[str, Backend] = {b.format: b for b in (PlainFolder(), Consolidated(), Archive())}

@@ -12,7 +12,7 @@ from pyspark.sql import SparkSession
 from ..constants import TREE_KEY
 from ..errors import FormatError, SchemaError
 from ..schema import TreeSchema
-from . import files
+from . import cache, files
 
 _seen: OrderedDict[str, dict] = OrderedDict()
 _MOST = 64
@@ -29,15 +29,20 @@ def parse(raw: bytes, where: str) -> dict[str, Any]:
 
 
 def read(spark: SparkSession, path: str) -> dict[str, Any]:
-    """The document at ``path``; the last 64 are remembered."""
+    """The document at ``path``; the last 64 are remembered, remote ones on disk too, for as long as their size and time stay."""
     if path not in _seen:
-        _seen[path] = parse(files.read_range(spark, path), path)
+        _seen[path] = parse(_remote(spark, path) if "://" in path and not path.startswith("file:") else files.read_range(spark, path), path)
         while len(_seen) > _MOST:
             _seen.popitem(last=False)
     _seen.move_to_end(path)
     return copy.deepcopy(_seen[path])
 
 
+def _remote(spark: SparkSession, path: str) -> bytes:
+    folder, _, name = path.rpartition("/")
+    return cache.fetch(folder, [name], lambda n: files.read_range(spark, f"{folder}/{n}"), files.version(spark, path))[name].read_bytes()
+
+
 def forget() -> None:
     _seen.clear()
 

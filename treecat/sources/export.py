@@ -1,10 +1,12 @@
-"""Writing catalogs: a dataset's levels and document as a folder or a consolidated catalog."""
+"""Writing catalogs: a dataset's levels and document as a folder, a consolidated catalog, or an archive."""
 
 from __future__ import annotations
 
 import json
 from typing import TYPE_CHECKING
 
+from pyspark.sql import DataFrame, SparkSession
+
 from .. import constants as C
 from ..operators.levels import children_of
 from . import files
@@ -31,3 +33,26 @@ def write_catalog(dataset: Dataset, path: str) -> str:
     document = dataset.collection | {C.TREE_KEY: dataset.pit_schema.to_dict()}
     files.write(spark, files.join(home, C.COLLECTION), json.dumps(document).encode())
     return path
+
+
+def write_archive(spark: SparkSession, path: str, levels: list[DataFrame], document: dict, row_group: int = 8 << 20) -> str:
+    """An archive of level tables and their document, without blocks of data.
+
+    Spark writes each level as one Parquet file, which the format asks for; the
+    files are then copied behind the header piece by piece.
+    """
+    from .archive import HEADER, pack_header
+
+    parts = []
+    for df in levels:
+        where = files.scratch(spark, "level")
+        df.coalesce(1).write.option("parquet.block.size", row_group).parquet(where)
+        parts.append(files.only_part(spark, where))
+    sizes = [files.size(spark, p) for p in parts]
+    raw = json.dumps(document).encode()
+    entries, at = [], HEADER
+    for n in [*sizes, len(raw)]:
+        entries.append((at, n))
+        at += n
+    files.write(spark, path, pack_header(entries), parts, raw)
+    return path

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import SparkSession
 
@@ -34,6 +35,15 @@ def size(spark: SparkSession, path: str) -> int:
     return int(fs.getFileStatus(where).getLen())
 
 
+def version(spark: SparkSession, path: str) -> dict:
+    """What tells a file's content apart from an earlier one's: its size, and its time as a tag."""
+    _, where, fs = _open(spark, path)
+    if not fs.exists(where):
+        raise StorageError(f"no such file: {path}")
+    status = fs.getFileStatus(where)
+    return {"size": int(status.getLen()), "etag": str(status.getModificationTime())}
+
+
 def read_range(spark: SparkSession, path: str, offset: int = 0, length: int | None = None) -> bytes:
     """Bytes [offset, offset + length) of a file, to its end without a length."""
     jvm, where, fs = _open(spark, path)
@@ -55,16 +65,34 @@ def join(*parts: str) -> str:
     return "/".join([*(p.rstrip("/") for p in parts[:-1]), parts[-1]])
 
 
-def write(spark: SparkSession, path: str, data: bytes) -> None:
-    """A small new file."""
-    _, where, fs = _open(spark, path)
+def write(spark: SparkSession, path: str, data: bytes, copied: Sequence[str] = (), tail: bytes = b"") -> None:
+    """A new file: ``data``, then the bytes of the ``copied`` files, then ``tail``. The JVM copies through a buffer."""
+    jvm, where, fs = _open(spark, path)
     stream = fs.create(where, False)
     try:
         stream.write(bytearray(data))
+        for other in copied:
+            _, there, its = _open(spark, other)
+            source = its.open(there)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, stream, 1 << 20, False)
+            finally:
+                source.close()
+        if tail:
+            stream.write(bytearray(tail))
     finally:
         stream.close()
 
 
+def only_part(spark: SparkSession, folder: str) -> str:
+    """The one data file that Spark wrote below ``folder``."""
+    _, where, fs = _open(spark, folder)
+    found = [str(f.getPath()) for f in fs.listStatus(where) if str(f.getPath().getName()).startswith("part-")]
+    if len(found) != 1:
+        raise StorageError(f"{folder} has {len(found)} parts, not one")
+    return found[0]
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path not used before, in the folder that all executors share.
 

@@ -2,7 +2,7 @@
 
 Local paths and ``file:`` are opened directly, http(s) by range requests, other
 schemes through ``pyarrow.fs``. Spark's names of schemes are understood:
-``s3a`` and ``s3n`` are S3, ``az`` and ``azure`` are containers of the account
+``s3a`` and ``s3n`` are S3 (at ``AWS_ENDPOINT_URL``, in ``AWS_REGION``, if set), ``az`` and ``azure`` are containers of the account
 that ``AZURE_STORAGE_ACCOUNT`` names. Where that does not do, an opener of the
 user's own, named as ``"module:function"``, takes the path and gives the stream.
 """
@@ -89,8 +89,11 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
     scheme, mark, rest = path.partition("://")
     if not mark:
         return pafs.LocalFileSystem(), unquote(urlsplit(path).path) if path.startswith("file:") else path
-    if scheme in ("s3a", "s3n"):
-        return pafs.FileSystem.from_uri(f"s3://{rest}")
+    if scheme in ("s3", "s3a", "s3n"):
+        region, endpoint = os.environ.get("AWS_REGION") or os.environ.get("AWS_DEFAULT_REGION"), os.environ.get("AWS_ENDPOINT_URL")
+        if region or endpoint:
+            return pafs.S3FileSystem(region=region, endpoint_override=endpoint), rest
+        return pafs.FileSystem.from_uri(f"s3://{rest}")  # asks for the bucket's region
     if scheme in ("az", "azure"):
         return pafs.AzureFileSystem(account_name=os.environ["AZURE_STORAGE_ACCOUNT"]), rest
     return pafs.FileSystem.from_uri(path)
