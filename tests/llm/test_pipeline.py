@@ -6,9 +6,11 @@ import random
 
 import pytest
 from llm_texts import prose
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from treecat.llm._shared import cut
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +69,51 @@ def test_pipeline_over_empty_documents(spark, tables, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+@pytest.fixture
+def odd_tables(spark, tables, tmp_path, odd_rows):
+    """The planted tables with odd rows and clashing columns beside them."""
+    base, rows, gone = tables
+    names = ("fp", "n", "key", "score", "label", "n_words", "hit_runs", "hit_items", "toxic", "grade", "expected_severity", "__quality", "component", "batch", "bands", "hashes")
+    more = [(None if i is None else 10_000 + i, t, "en", "src0", len(t or "")) for i, t in odd_rows]
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({c: F.lit("mine") for c in names})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        df = spark.read.parquet(f"{base}/{t}.parquet")
+        odd = [(None, None, None), (10_001, None, 1), (1, None, None)] if t == "labels" else [(None, None), (77, ""), (None, "...")]
+        df.unionByName(spark.createDataFrame(odd, df.schema)).write.parquet(str(tmp_path / f"{t}.parquet"))
+    return str(tmp_path), rows, gone, names
+
+
+def test_odd_rows_go_through_all_stages(spark, odd_tables):
+    base, rows, gone, names = odd_tables
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    columns, all_gone = docs.columns, set().union(*gone.values())
+    for (name, stage), kind in zip(corpus_pipeline.STAGES, ("toxic", "junk", "copy", "leak", None)):
+        docs = cut(stage(spark, docs, base), name)
+        assert docs.columns[: len(columns)] == columns, name
+        left = {r["doc_id"] for r in docs.select("doc_id").collect()}
+        assert {i for i in left if i is not None and i < 10_000} == {r[0] for r in rows} - set().union(*(gone[k] for k in ("toxic", "junk", "copy", "leak")[: 1 + ["toxic", "junk", "copy", "leak", None].index(kind)])), name
+        assert all({r[c] for r in docs.select(c).distinct().collect()} == {"mine"} for c in names)
+        if name == "toxicity":  # nothing odd is toxic, and repeated rows stay
+            assert docs.where("doc_id IS NULL OR doc_id > 10000").count() == 9
+        if name == "near_duplicates":
+            assert docs.where("doc_id = 10004").count() <= 1 and docs.where("text IS NULL OR trim(text) = ''").count() <= 1
+    assert docs.where("NOT round_trip").count() == 0 and all_gone.isdisjoint(left)
+
+
+@pytest.mark.parametrize("without", ["labels", "benchmark"])
+def test_pipeline_without_labels_or_benchmark(spark, tables, tmp_path, without):
+    base, rows, gone = tables
+    for t in ("labels", "benchmark", "documents"):
+        df = spark.read.parquet(f"{base}/{t}.parquet")
+        (df.limit(0) if t == without else df).write.parquet(str(tmp_path / f"{t}.parquet"))
+    left = {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    kinds = ("copy", "leak") if without == "labels" else ("toxic", "junk", "copy")
+    want = {r[0] for r in rows} - set().union(*(gone[k] for k in kinds))
+    assert left == want
+
+
 def test_near_copies_go(spark):
     """Texts with one word in 60 or in 40 changed (J of some 0.84 and 0.8) go, those of 0.7 stay, as a plain comparison says."""
     rng, rows = random.Random(12), []

@@ -100,7 +100,9 @@ def section_token_counts(
     With ``by_line`` the only field's lines are the sections; else the fields
     are, joined by ``separator``, which belongs to the field before it. Spans
     are in characters. A null is an empty string; an empty document has one
-    empty section with no tokens (or one per field). Repeated rows stay.
+    empty section with no tokens (or one per field). Repeated rows stay; texts
+    of any length are encoded whole; no rows give no rows. A key column that is
+    named like one of the others is called ``key``.
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}, not {rule!r}")
@@ -131,8 +133,9 @@ def section_token_counts(
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(repeat, pa.int64())), *(pa.array(c).cast(t) for c, t in zip(flat, types))], names=names)
 
     found = rows.mapInArrow(count, f"key {kind}, section int, char_start long, char_end long, tokens double, crossing int, doc_tokens long")
-    return found.withColumnRenamed("key", key)
+    return found if key in names else found.withColumnRenamed("key", key)
 
 
 def op3_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every line of every text of ``documents``, as ``section_token_counts`` has them."""
     return section_token_counts(table(spark, sf_dir, "documents"), rule="majority")
