@@ -51,6 +51,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A made-up input table, written once in a session, so that queries over it run their own operator alone."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = files.scratch(spark, name)
+        make().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 # --- trees -------------------------------------------------------------------
 
 
@@ -128,7 +141,7 @@ def _points(df: DataFrame, key: str, boxes: bool = False) -> DataFrame:
 
 def spatial_h2(spark: SparkSession, sf_dir: str) -> Dataset:
     d = h2(spark, sf_dir)
-    levels = {n: _points(df, f"`{C.CURRENT_ID}`") for n, df in d.levels.items()}
+    levels = {n: stored(spark, sf_dir, f"points{n}", lambda df=df: _points(df, f"`{C.CURRENT_ID}`")) for n, df in d.levels.items()}
     return d.replace(levels=levels, current=levels[0])
 
 
@@ -377,7 +390,7 @@ def _cells(rows: DataFrame, key: str) -> DataFrame:
 
 def stats_tree(spark: SparkSession, sf_dir: str) -> Dataset:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cells = _cells(read(spark, sf_dir, "lineitem"), "l_orderkey").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    cells = stored(spark, sf_dir, "cells", lambda: _cells(read(spark, sf_dir, "lineitem"), "l_orderkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = cells.select(*_node(C.FILE, "concat('o', l_orderkey)", "l_orderkey", "o_custkey"), q(C.STATS_COLUMNS[0]), q(C.SHAPE_COLUMN))
     top = read(spark, sf_dir, "customer").select(*_node(C.FOLDER, "c_name", "c_custkey"))
     return from_levels(spark, _document(C.FOLDER, [C.FILE]), {0: top, 1: rows}, C.PLAIN, "/s", "/s")
