@@ -6,24 +6,33 @@ weights come from expectation-maximisation on held-out counts: every training
 token in turn is held out by deleting its own occurrence from the counts.
 
 The job never ships a model. Documents are packed into batches of token
-numbers (a table bucketed by batch). Each batch's distinct words and bigrams
-are rows (key, batch, place, count): a window over the key adds the counts up
-and gives every row its key's total, in one shuffle whose sort spills and in
-which a frequent word is one row a batch and so no hot key. The totals go back
-to their batches (a second table, bucketed alike, so that batches and totals
-meet without a shuffle, and read twice: for the weights and for the scores).
-Rows and shuffles grow in proportion to the text; no task's share depends on a
-number of buckets. Words and bigrams are told apart by 64-bit hashes.
+numbers (a table bucketed by batch), and each batch asks for the corpus counts
+of its distinct words and bigrams, which come back as a second table, bucketed
+alike, so that batches and totals meet without a shuffle; it is read twice, for
+the weights and for the scores. A frequent word or bigram is one entry a batch
+and so no hot key. Keys are asked for in one of two ways, which give the same
+totals:
+
+* as lists: a batch deals its sorted keys by hash into buckets of a bounded
+  number of tokens; sorted keys pack into some six bytes. Lists number batches
+  times buckets, so this is for up to ``most_listed`` tokens;
+* as rows (key, batch, place, count) beyond that: a window over the key adds
+  the counts up, in a shuffle whose sort spills, and rows whose total is more
+  than their batch's own count return. Both grow in proportion to the text.
+
+Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -33,6 +42,8 @@ from ._shared import new_folder, slices, space_words
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 START = np.uint64(xxhash.xxh64_intdigest(b" "))
 BATCH_TOKENS = 2_000_000
+#: Tokens whose keys one bucket adds up.
+BUCKET_TOKENS = 8_000_000
 #: Width of a histogram cell in natural logarithms of a probability.
 CELL = 0.125
 BUCKETS = 48
@@ -113,11 +124,55 @@ class _Unpacked:
         self.uniq, self.pair = np.unique(pair_keys(before, hashes), return_inverse=True)
 
 
+def _dealt(keys: np.ndarray, buckets: int) -> list[np.ndarray]:
+    """Positions of the sorted keys by bucket, in order."""
+    bucket = (keys % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    return np.split(order, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
+
+
+def _listed(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 1):
+            row = b.to_pylist()[0]
+            x = _Unpacked(row["words"], row["tokens"], row["sizes"], row["held"])
+            out = []
+            for kind, keys, which in ((1, x.words, x.tokens), (2, x.uniq, x.pair)):
+                counts = np.bincount(which[x.train], minlength=len(keys)).astype(np.uint32)
+                for k, at in enumerate(_dealt(keys, buckets)):
+                    if len(at):
+                        out.append((k, row["batch"], kind, _planes(keys[at]), _planes(counts[at])))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.int8(), pa.binary(), pa.binary()))], names=["bucket", "batch", "kind", "keys", "counts"])
+
+    return run
+
+
+def _added_up(rows: pa.Table) -> pa.Table:
+    """Per asked list the corpus counts of its keys; batch -1 carries the bucket's number of distinct words."""
+    bucket, out = rows.column("bucket")[0].as_py(), []
+    for kind in (1, 2):
+        mine = rows.filter(pc.equal(rows.column("kind"), kind))
+        if not mine.num_rows:
+            continue
+        keys = [_numbers(k, np.uint64) for k in mine.column("keys").to_pylist()]
+        counts = np.concatenate([_numbers(c, np.uint32) for c in mine.column("counts").to_pylist()])
+        uniq, which = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(which, counts, len(uniq)).astype(np.uint64)
+        if kind == 1:
+            out.append((-1, bucket, 0, int((total > 0).sum()), b""))
+        at = 0
+        for batch, k in zip(mine.column("batch").to_pylist(), keys):
+            out.append((batch, bucket, kind, 0, _planes(total[which[at : at + len(k)]])))
+            at += len(k)
+    types = (pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.binary())
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["batch", "bucket", "kind", "v", "totals"])
+
+
 #: Where a batch's bigrams begin among its places; words come before.
 PAIRS = 1 << 31
 
 
-def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _as_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per distinct word and bigram of a batch, with its training occurrences there."""
     for b in slices(batches, 1):
         row = b.to_pylist()[0]
@@ -130,16 +185,24 @@ def _asks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays(list(columns), names=["key", "batch", "place", "n"])
 
 
-def _counted(batch: pa.Table, totals: pa.Table) -> tuple | None:
+def _counted(buckets: int, batch: pa.Table, got: pa.Table) -> tuple | None:
     """(unpacked batch, its row, counts per token of context, bigram and word); None for a group without a batch."""
     if not batch.num_rows:
         return None
     row = batch.to_pylist()[0]
     x = _Unpacked(row["words"], row["tokens"], row["sizes"], row["held"])
-    place, total = totals.column("place").to_numpy(), totals.column("total").to_numpy()
-    words, pairs = np.zeros(len(x.words), np.int64), np.zeros(len(x.uniq), np.int64)
-    pair = place >= PAIRS
-    words[place[~pair]], pairs[place[pair] - PAIRS] = total[~pair], total[pair]
+    if buckets:
+        lists = {(k, b): t for k, b, t in zip(*(got.column(c).to_pylist() for c in ("kind", "bucket", "totals")))}
+        words, pairs = np.zeros(len(x.words), np.int64), np.zeros(len(x.uniq), np.int64)
+        for kind, keys, total in ((1, x.words, words), (2, x.uniq, pairs)):
+            for k, at in enumerate(_dealt(keys, buckets)):
+                if len(at):
+                    total[at] = _numbers(lists[kind, k], np.uint64)
+    else:  # what no other batch has is as often as here
+        words, pairs = (np.bincount(which[x.train], minlength=len(keys)) for keys, which in ((x.words, x.tokens), (x.uniq, x.pair)))
+        place, total = got.column("place").to_numpy(), got.column("total").to_numpy()
+        pair = place >= PAIRS
+        words[place[~pair]], pairs[place[pair] - PAIRS] = total[~pair], total[pair]
     word, pair = words[x.tokens], pairs[x.pair]
     context = np.concatenate(([0], word[:-1]))
     # a document's first context is its start, which occurs as often as the end does
@@ -194,47 +257,57 @@ def probabilities(weights: np.ndarray, context: np.ndarray, pair: np.ndarray, wo
 
 
 def _bucketed(df: DataFrame, name: str, parts: int) -> DataFrame:
-    """``df`` as a table in ``parts`` buckets by batch; each bucket is one file."""
+    """``df`` as a table in ``parts`` buckets by batch."""
     spark = df.sparkSession
     where = f"{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(parts, "batch").write.bucketBy(parts, "batch").option("path", new_folder(spark, name)).option("compression", "zstd")
+    writer = df.write.bucketBy(parts, "batch").option("path", new_folder(spark, name)).option("compression", "zstd")
     writer.saveAsTable(where)
     found = spark.table(where)
     spark.sql(f"DROP TABLE {where}")  # only the catalog's entry: the files stay, and the frame knows them and their buckets
     return found
 
 
-def corpus_totals(packed: DataFrame) -> DataFrame:
-    """``(batch, place, total, first)`` for every distinct word and bigram of every packed batch.
+def corpus_totals(packed: DataFrame, parts: int, buckets: int) -> tuple[DataFrame, int]:
+    """(a table of totals by batch, distinct training words); as lists in ``buckets`` buckets, as rows if there are none.
 
-    ``total`` counts the key's training occurrences in the whole corpus;
-    ``first`` marks one row of each key.
+    Totals are dealt by batch before they are written, so that each task writes its own buckets alone.
     """
-    asks = packed.select("batch", "held", "sizes", "words", "tokens").mapInArrow(_asks, "key long, batch long, place long, n int")
+    asked = packed.select("batch", "held", "sizes", "words", "tokens")
+    if buckets:
+        asks = asked.mapInArrow(_listed(buckets), "bucket int, batch long, kind byte, keys binary, counts binary")
+        totals = asks.groupBy("bucket").applyInArrow(_added_up, "batch long, bucket int, kind byte, v long, totals binary")
+        totals = _bucketed(totals.repartition(parts, "batch"), "totals", parts)
+        return totals.where("kind > 0").select("batch", "bucket", "kind", "totals"), totals.where("kind = 0").agg(F.sum("v")).first()[0] or 0
     same = Window.partitionBy("key", F.col("place") >= PAIRS)
-    return asks.select("batch", "place", F.sum("n").over(same).alias("total"), (F.min("batch").over(same) == F.col("batch")).alias("first"))
+    asks = asked.mapInArrow(_as_rows, "key long, batch long, place long, n int")
+    first = (F.min("batch").over(same) == F.col("batch")) & (F.col("place") < PAIRS)
+    totals = asks.select("batch", "place", "n", F.sum("n").over(same).alias("total"), first.alias("first")).where("total > n OR first AND total > 0")
+    totals = _bucketed(totals.drop("n").repartition(parts, "batch"), "totals", parts)
+    return totals.select("batch", "place", "total"), totals.where("first").count()
 
 
-def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", most_listed: int = 20_000_000_000) -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per row of ``docs``.
 
     The model learns from the rows whose ``held_out`` is false; a null there
     counts as true. Tokens are the folded words and one end; a null or empty
     text is the end alone. Repeated rows count each; no rows give no rows;
-    other columns are not read.
+    other columns are not read. Beyond ``most_listed`` tokens keys are asked
+    for as rows, not as lists, with the same result.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(True)).alias("held"), F.col(text).cast("string").alias("text"))
-    packed = _bucketed(rows.mapInArrow(_pack, _PACKED_SQL), "packed", parts)
-    totals = _bucketed(corpus_totals(packed), "totals", parts)
-    n = packed.agg(F.sum(F.aggregate(F.arrays_zip("held", "sizes"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["held"], 0).otherwise(x["sizes"])))).first()[0] or 0
-    v = totals.where((F.col("place") < PAIRS) & F.col("first") & (F.col("total") > 0)).count()
-    met = packed.groupBy("batch").cogroup(totals.select("batch", "place", "total").groupBy("batch"))
+    packed = _bucketed(rows.mapInArrow(_pack, _PACKED_SQL), "packed", parts)  # a task writes no more files than it has batches
+    trained = F.aggregate(F.arrays_zip("held", "sizes"), F.lit(0).cast("long"), lambda s, x: s + F.when(x["held"], 0).otherwise(x["sizes"]))
+    every, n = (x or 0 for x in packed.agg(F.sum("n_tokens"), F.sum(trained)).first())
+    buckets = max(64, math.ceil(every / BUCKET_TOKENS)) if every <= most_listed else 0
+    totals, v = corpus_totals(packed, parts, buckets)
+    met = packed.groupBy("batch").cogroup(totals.groupBy("batch"))
     cell_types = [(c, pa.int64()) for c in ("bucket", "cell2", "cell1")] + [(c, pa.float64()) for c in ("tokens", "p2", "p1")]
 
     def histogram(batch: pa.Table, got: pa.Table) -> pa.Table:
-        found = _counted(batch, got)
+        found = _counted(buckets, batch, got)
         if found is None:
             return pa.schema(cell_types).empty_table()
         x, _, context, pair, word = found
@@ -247,7 +320,7 @@ def interpolated_scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id
     out = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def score(batch: pa.Table, got: pa.Table) -> pa.Table:
-        found = _counted(batch, got)
+        found = _counted(buckets, batch, got)
         if found is None:
             return pa.schema(out).empty_table()
         x, row, context, pair, word = found
