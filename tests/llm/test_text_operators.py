@@ -112,6 +112,19 @@ def model():
     return ps.PieceModel(ps.read_model(ps.MODEL))
 
 
+def by_word(model, words):
+    ids, counts = model.encode_words(words)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+def test_false_hash_matches_are_searched_plainly(model, monkeypatch):
+    made = ["naïve", " the", "▁x", " and", "a" * 20]
+    want = by_word(model, made)
+    honest = ps.PieceModel._searched
+    monkeypatch.setattr(ps.PieceModel, "_searched", lambda self, parts: (lambda x, n: (np.where(np.arange(len(x)) % 3 == 1, 5000, x), n))(*honest(self, parts)))
+    assert by_word(model, made) == want
+
+
 def brute_best(model, text):
     """Highest sum of piece scores over the whole text with its space before it, by plain search."""
     s = " " + text
@@ -155,7 +168,7 @@ def test_batched_search_equals_the_plain_one(model):
     rng = random.Random(2)
     made = {"".join(rng.choice("etaoinshrdlu é") for _ in range(rng.randrange(1, 30))).replace(" ", "") or "x" for _ in range(500)}
     made = sorted(" " + w for w in made)
-    assert model.encode_words(made) == [model._spelled(w, model.plain(w)) for w in made]
+    assert by_word(model, made) == [model._spelled(w, model.plain(w)) for w in made]
 
 
 def test_pieces_through_spark(spark, docs, odd_rows):
@@ -183,7 +196,7 @@ def test_ids_are_those_of_the_library(spark, docs, odd_rows):
         assert r["piece_ids"] == library.encode(r["text"]) and r["round_trip"], r["text"][:80]
     merged = ps.PieceModel(ps.read_model(ps.MODEL), ps.is_bpe(ps.MODEL))
     made = sorted({w for t in texts for w in t.split(" ") if w and "\n" not in w})
-    assert merged.encode_words(made) == [merged._spelled(w, merged.plain(w)) for w in made]
+    assert by_word(merged, made) == [merged._spelled(w, merged.plain(w)) for w in made]
 
 
 def unspaced(rng, n):
@@ -281,3 +294,5 @@ def test_fields_and_bad_arguments(spark, docs):
         with pytest.raises(ValueError):
             tc.section_token_counts(df, "k", **bad)
     assert tc.section_token_counts(docs([])).count() == 0
+    clash = tc.section_token_counts(df.withColumnRenamed("k", "tokens"), "tokens")
+    assert clash.columns == ["key", "section", "char_start", "char_end", "tokens", "crossing", "doc_tokens"] and {r["key"] for r in clash.collect()} == {1, 2}

@@ -47,8 +47,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Tells substrings of different lengths apart in one table.
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
-#: Distinct words whose pieces a task remembers, and their length.
-_CACHE, _CACHED = 200_000, 48
+#: Distinct words whose pieces a task remembers.
+_CACHE = 400_000
 #: Cells (words times characters) of one batched search.
 _CELLS = 1 << 21
 #: Top bits of a hash that a first look asks for, before the sorted keys are searched.
@@ -84,6 +84,31 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return out
 
 
+def _runs_of(values: np.ndarray) -> list[tuple[int, int]]:
+    """[begin, end) of the runs of equal values."""
+    edges = np.flatnonzero(np.append(True, values[1:] != values[:-1])).tolist() if len(values) else []
+    return list(zip(edges, [*edges[1:], len(values)]))
+
+
+def _codes(text: str) -> np.ndarray:
+    """Code points."""
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class _Words(dict):
+    """Word -> its number; ``new`` collects words not seen before."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[str] = []
+        self.ids, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class PieceModel:
     """Encoder of the pieces; by merges if ``merges``, else by the highest sum of scores."""
 
@@ -122,6 +147,11 @@ class PieceModel:
             may_be[(hashes >> _FILTER_SHIFT).astype(np.int64)] = True
             self.tables[n] = hashes[order], np.array([s for s, _ in found]), np.array([i for _, i in found]), may_be
         self.longest = max(self.tables, default=1)
+        self.lengths = np.zeros(len(pieces), np.int64)
+        for i, text in self.strings.items():
+            self.lengths[i] = len(text)
+        self.places = np.cumsum(self.lengths) - self.lengths
+        self.codes = _codes("".join(self.strings[i] for i in sorted(self.strings)))
         # one table of all lengths, as the pairs of a round differ in theirs
         parts = [(h + np.array([n], np.uint64) * _LENGTH, s, i) for n, (h, s, i, _) in self.tables.items()]
         keys, scores, ids = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in range(3))
@@ -143,7 +173,7 @@ class PieceModel:
     def _equal_length(self, words: list[str]) -> list[list[int]]:
         """Piece ids of words of one length; -1 stands for a character without a piece."""
         m, size = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, size).astype(np.uint64)
+        codes = _codes("".join(words)).reshape(m, size).astype(np.uint64)
         sums = np.zeros((size + 1, m), np.uint64)
         np.cumsum((codes.T + np.uint64(1)) * _powers(_BASE, size)[:, None], axis=0, out=sums[1:])
         back = _powers(_INVERSE, size + 1)
@@ -176,7 +206,7 @@ class PieceModel:
         n = len(word)
         if n <= self.longest:
             return [word]
-        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = _codes(word).astype(np.uint64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)))
         back = _powers(_INVERSE, n)
         edge = np.zeros(n + 1, np.int64)
@@ -188,11 +218,11 @@ class PieceModel:
         cuts = [0, *(1 + np.flatnonzero(np.cumsum(edge)[1:n] == 0)).tolist(), n]
         return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _merged(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of words of any length by merges; -1 stands for a character without a piece."""
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids end to end, how many each word has) by merges; -1 stands for a character without a piece."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         n = int(sizes.sum())
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = _codes("".join(words)).astype(np.uint64)
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * _powers(_BASE, n), dtype=np.uint64)))
         back = _powers(_INVERSE, n + 1)
         keys, costs, ids, may_be = self.all
@@ -258,10 +288,8 @@ class PieceModel:
             row = np.flatnonzero(changed)
             then = np.minimum(row + 1, len(begin) - 1)
             cost[row], union[row] = join(begin[row], end[then], (then > row) & (word[then] == word[row]))
-        found = final[final > -2].tolist()
-        counts = np.bincount(np.repeat(np.arange(len(words)), sizes)[final > -2], minlength=len(words))
-        ends = np.cumsum(counts).tolist()
-        return [found[i:j] for i, j in zip([0, *ends], ends)]
+        there = final > -2
+        return final[there], np.bincount(np.repeat(np.arange(len(words)), sizes)[there], minlength=len(words))
 
     def _plain_merged(self, word: str) -> list[int]:
         """The merges of one word of any length, from a heap of pairs."""
@@ -307,75 +335,91 @@ class PieceModel:
             j -= taken[j]
         return out[::-1]
 
-    def _spelled(self, word: str, pieces: list[int]) -> list[int] | None:
-        """Ids with byte pieces put in; None if the pieces do not spell the word."""
-        if -1 not in pieces:
-            return pieces if "".join(map(self.strings.__getitem__, pieces)) == word else None
+    def _spelled(self, word: str, pieces: list[int]) -> list[int]:
+        """Ids of one word with byte pieces put in for each -1."""
         out, at = [], 0
         for p in pieces:
             if p >= 0:
-                text = self.strings[p]
-                if not word.startswith(text, at):
-                    return None
-                at += len(text)
+                at += len(self.strings[p])
                 out.append(p)
             else:
                 out += self.bytes_id[list(word[at].encode("utf-8", "surrogatepass"))].tolist()
                 at += 1
-        return out if at == len(word) else None
+        return out
 
-    def _searched(self, parts: list[str]) -> list[list[int]]:
-        """Piece ids of distinct parts, in batches of bounded size."""
+    def _searched(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids end to end, how many each part has), in batches of bounded size; the pieces may be false hash matches."""
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        found: list[list[int]] = [[]] * len(parts)
-
-        def batched(at: np.ndarray, search) -> None:
-            filled = np.cumsum(sizes[at]) // _CELLS
-            for k in np.unique(filled):
-                mine = at[filled == k].tolist()
-                for i, pieces in zip(mine, search([parts[i] for i in mine])):
-                    found[i] = pieces
-
         if self.merges:
-            batched(np.arange(len(parts)), self._merged)
+            filled = np.cumsum(sizes) // _CELLS
+            found = [self._merged(parts[a:b]) for a, b in _runs_of(filled)]
         else:
+            lists: list[list[int]] = [[]] * len(parts)
             for size in np.unique(sizes):
-                batched(np.flatnonzero(sizes == size), self._equal_length)
-        return found
-
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Piece ids of each (distinct) word."""
-        long = {i: self._parts(w) for i, w in enumerate(words) if len(w) > self.longest}
-        index = {p: n for n, p in enumerate({p for parts in long.values() for p in parts})}
-        short = [w for w in words if len(w) <= self.longest]
-        pieces = self._searched([*index, *short])
-        rest = iter(pieces[len(index) :])
-        found = [[p for k in long[i] for p in pieces[index[k]]] if i in long else next(rest) for i in range(len(words))]
-        found = list(map(self._spelled, words, found))
-        return [self._spelled(w, self.plain(w)) if x is None else x for w, x in zip(words, found)]
-
-    def encode(self, texts: list[str | None], cache: dict[str, list[int]] | None = None) -> list[np.ndarray]:
-        """Piece ids of every text; a null or empty text has none. A text gets one space put before it."""
-        cache = {} if cache is None else cache
-        index: dict[str, int] = {}
-        numbers = [[index.setdefault(w, len(index)) for w in _WORD.findall(f" {t}")] if t else [] for t in texts]
-        words = list(index)
-        pieces = [cache.get(w) for w in words]
-        new = [i for i, x in enumerate(pieces) if x is None]
-        for i, x in zip(new, self.encode_words([words[i] for i in new])):
-            pieces[i] = x
-            if len(cache) < _CACHE and len(words[i]) <= _CACHED:
-                cache[words[i]] = x
-        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        first = np.cumsum(sizes) - sizes
-        flat = np.fromiter((p for x in pieces for p in x), np.int32, int(sizes.sum()))
+                at = np.flatnonzero(sizes == size)
+                for a, b in _runs_of(np.arange(1, len(at) + 1) * size // _CELLS):
+                    for i, pieces in zip(at[a:b].tolist(), self._equal_length([parts[i] for i in at[a:b].tolist()])):
+                        lists[i] = pieces
+            found = [(np.fromiter((p for x in lists for p in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists)))]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(piece ids end to end, how many each word has), bytes of characters without a piece included."""
+        if not words:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        cut = {i: self._parts(w) for i, w in enumerate(words) if len(w) > self.longest}
+        parts = [p for i, w in enumerate(words) for p in (cut[i] if i in cut else (w,))] if cut else words
+        per_word = np.ones(len(words), np.int64)
+        for i, x in cut.items():
+            per_word[i] = len(x)
+        ids, counts = self._searched(parts)
+        counts = np.add.reduceat(counts, np.cumsum(per_word) - per_word)
+        # the pieces' characters, laid end to end, must be the words'
+        text, owner = "".join(words), np.repeat(np.arange(len(words)), counts)
+        codes, known = _codes(text), ids >= 0
+        lengths = np.where(known, self.lengths[ids], 1)
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        right = np.bincount(owner, lengths, len(words)).astype(np.int64) == sizes
+        if right.all():
+            at = np.repeat(np.where(known, self.places[ids], -1) - starts, lengths) + np.arange(int(ends[-1]))
+            same = np.repeat(~known, lengths) | (self.codes[np.maximum(at, 0)] == codes)
+            right[np.repeat(owner, lengths)[~same]] = False
+        if not right.all():
+            lists = np.split(ids, np.cumsum(counts)[:-1])
+            lists = [self.plain(w) if not ok else x.tolist() for w, x, ok in zip(words, lists, right.tolist())]
+            lists = [self._spelled(w, x) for w, x in zip(words, lists)]
+            return np.fromiter((p for x in lists for p in x), np.int32), np.fromiter(map(len, lists), np.int64, len(lists))
+        if not known.all():
+            odd = np.flatnonzero(~known)
+            raw = [text[i].encode("utf-8", "surrogatepass") for i in starts[odd].tolist()]
+            wide = np.ones(len(ids), np.int64)
+            wide[odd] = list(map(len, raw))
+            ids, counts = np.repeat(ids, wide), np.bincount(owner, wide, len(words)).astype(np.int64)
+            ids[ids < 0] = self.bytes_id[np.frombuffer(b"".join(raw), np.uint8)]
+        return ids, counts
+
+    def encode(self, texts: list[str | None], seen: _Words | None = None) -> list[np.ndarray]:
+        """Piece ids of every text; a null or empty text has none. A text gets one space put before it.
+
+        ``seen`` remembers words from call to call.
+        """
+        seen = _Words() if seen is None else seen
+        if len(seen) > _CACHE:
+            seen.__init__()
+            seen.clear()
+        number = seen.__getitem__
+        numbers = [np.fromiter(map(number, _WORD.findall(f" {t}")), np.int64) if t else np.empty(0, np.int64) for t in texts]
+        if seen.new:
+            ids, counts = self.encode_words(seen.new)
+            seen.ids, seen.sizes, seen.new = np.concatenate([seen.ids, ids]), np.concatenate([seen.sizes, counts]), []
+        first = np.cumsum(seen.sizes) - seen.sizes
         out = []
-        for seen in numbers:
-            seen = np.array(seen, np.int64)
-            n = sizes[seen]
+        for words in numbers:
+            n = seen.sizes[words]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(flat[np.arange(total) + np.repeat(first[seen] - (ends - n), n)])
+            out.append(seen.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first[words] - (ends - n), n)])
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -401,10 +445,10 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
     schema = docs.select("*", *(F.lit(None).cast(t).alias(c) for c, t in added.items())).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, cache = PieceModel(*shared.value), {}
+        pieces, seen = PieceModel(*shared.value), _Words()
         for b in slices(batches):
             texts = b.column(text).to_pylist()
-            ids = pieces.encode(texts, cache)
+            ids = pieces.encode(texts, seen)
             back = [pieces.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
             flat = np.concatenate([*ids, np.empty(0, np.int32)]).astype(np.int32)
