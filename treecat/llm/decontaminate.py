@@ -50,17 +50,23 @@ def digest(window: list[bytes]) -> bytes:
 
 
 class _Hashes(dict):
-    """Word -> place of its hash in ``values``; a word not seen before is hashed when asked for."""
+    """Word -> place of its hash in ``table()``; a word not seen before is hashed when asked for."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.values: list[int] = []
+        self.values, self._known = [], np.empty(0, np.uint64)
 
     def __missing__(self, word: bytes) -> int:
         self.values.append(xxhash.xxh64_intdigest(word))
-        self[word] = place = len(self.values) - 1
+        self[word] = place = len(self._known) + len(self.values) - 1
         return place
 
+    def table(self) -> np.ndarray:
+        """All hashes by place."""
+        if self.values:
+            self._known, self.values = np.concatenate([self._known, np.array(self.values, np.uint64)]), []
+        return self._known
+
 
 class Rolling:
     """Window hashes of word sequences: sum of h(word j) * BASE ** j, from prefix sums modulo 2 ** 64."""
@@ -74,7 +80,7 @@ class Rolling:
         if len(self.seen) > _MEMO:
             self.seen = _Hashes()
         at = np.fromiter(map(self.seen.__getitem__, flat), np.int64, n)
-        h = np.array(self.seen.values, np.uint64)[at] if n else np.empty(0, np.uint64)
+        h = self.seen.table()[at]
         if len(self.power) < n + 1:
             size = max(n + 1, 2 * len(self.power))
             grown = lambda base: np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, base, np.uint64))))
@@ -120,8 +126,8 @@ class WindowSet:
         keys = np.array(sorted(names), np.int64)
         values = np.array([place[names[k]] for k in keys.tolist()], np.int32)
         size, hashes, item = (windows.column(c).to_numpy() for c in ("size", "hash", "item"))
-        digests = np.frombuffer(b"".join(windows.column("digest").to_pylist()), "S16") if len(size) else np.empty(0, "S16")
-        digests = np.frombuffer(digests.tobytes(), ">u8").reshape(-1, 2).astype(np.uint64)
+        whole = pa.concat_arrays(windows.column("digest").chunks) if len(size) else None  # its values are 16 bytes each, end to end
+        digests = np.frombuffer(whole.buffers()[2], ">u8", 2 * len(size)).reshape(-1, 2).astype(np.uint64) if len(size) else np.empty((0, 2), np.uint64)
         self.tables = {}
         for n in np.unique(size).tolist():
             rows = np.flatnonzero(size == n)
@@ -186,7 +192,7 @@ def _flat(texts: list) -> tuple[list[list[bytes]], list[bytes], np.ndarray, np.n
 _ADDED = {"n_words": "bigint", "hit_runs": "array<struct<begin:int,end:int>>", "hit_items": "array<string>"}
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, most_bytes: int = 160 << 20, keep_text: bool = True, most_broadcast: int = 1_000_000) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = 10, most_bytes: int = 64 << 20, keep_text: bool = True, most_broadcast: int = 1_000_000) -> DataFrame:
     """``docs`` with ``n_words``, ``hit_runs`` (word positions [begin, end)) and ``hit_items`` (sorted ids as strings).
 
     Columns of these names are replaced; without ``keep_text`` the text goes. A
