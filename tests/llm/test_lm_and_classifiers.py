@@ -11,6 +11,7 @@ from llm_texts import prose
 from pyspark.sql import functions as F
 
 from treecat.llm import interpolated_lm as lm, ordinal_toxicity as tox, pairwise_quality as pq
+from treecat.llm.labelled import labelled_texts, order_statistics
 
 
 
@@ -225,6 +226,50 @@ def test_ranking_fit_against_its_own_definition():
     assert m.scores(x)[0] == pytest.approx(1 / (1 + math.exp(m.threshold - float(x[0] @ m.weights))))
 
 
+def test_ranking_has_no_slope_over_all_pairs(judged, spark, tmp_path):
+    """The fit in Spark: no labelled document and no pair is left out."""
+    documents, labels, _ = judged
+    documents.repartition(5).write.parquet(str(tmp_path / "d"))
+    model = pq.fit_quality(spark.read.parquet(str(tmp_path / "d")), labels)
+    known = {r[0]: r[1] for r in labels.where("doc_id is not null and quality is not null and doc_id <> 12").collect()}
+    rows = sorted((r["doc_id"], r["text"]) for r in documents.where("doc_id >= 10").collect() if r["doc_id"] in known)
+    x, y = np.stack([pq.text_features(t) for _, t in rows]).astype(float), np.array([known[i] for i, _ in rows])
+    scale = x.std(axis=0)
+    z, w = x / np.where(scale < 1e-6, np.inf, scale), model.weights * np.where(scale < 1e-6, 0, scale)
+    s = z @ w
+    wrong = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0]))
+    slope = (wrong.sum(axis=0) @ z[y == 0] - wrong.sum(axis=1) @ z[y == 1]) / wrong.size + 1e-3 * w
+    assert np.abs(slope).max() < 1e-6
+    ranked, bad = np.sort(x @ model.weights), int((y == 0).sum())
+    assert model.threshold == pytest.approx((ranked[bad - 1] + ranked[bad]) / 2)
+    alone = pq.learn_ranking(x.astype(np.float32), y)
+    assert alone.weights == pytest.approx(model.weights, abs=1e-4)
+
+
+def test_all_labelled_documents_are_learned_from(spark):
+    """More than any former cap; with and without a broadcast."""
+    rows = spark.range(30_000).selectExpr("id AS doc_id", "concat('t', id) AS text")
+    labels = rows.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    for most in (0, 10**6):
+        assert labelled_texts(rows, labels, "quality", most_broadcast=most).distinct().count() == 30_000
+
+
+def test_order_statistics(spark):
+    rng = np.random.default_rng(3)
+    values = np.concatenate([rng.normal(size=3_000), np.full(500, 0.25), [1e12, -1e12]])
+    df = spark.createDataFrame([(float(v),) for v in values], "v double")
+    ranks = [0, 1, 700, 1750, 1900, 3500, 3501, 9999]
+    assert order_statistics(df, "v", ranks, most=20) == order_statistics(df, "v", ranks) == [float(np.sort(values)[min(r, 3501)]) for r in ranks]
+
+
+def test_gradients_are_summed_by_blocks(judged, monkeypatch):
+    documents, labels, _ = judged
+    whole = tox.fit_toxicity(documents, labels)
+    monkeypatch.setattr(tox, "BLOCK", 4)
+    parts = tox.fit_toxicity(documents, labels)
+    assert len(whole.weights) > 8 and parts.place == whole.place and parts.weights == pytest.approx(whole.weights, abs=1e-6)
+
+
 def test_quality_sees_bytes_lines_and_words():
     a, b = pq.text_features("Aa b\nb"), pq.text_features("aA  c\n")
     assert len(a) == pq.N_FEATURES and a[ord("b")] == pytest.approx((2 / 6) ** 0.5) and a[135:].sum() > 0

@@ -8,8 +8,8 @@ carry no judgement from outside.
 
 Features are hashes of words and of the runs of five bytes in them, so that an
 unseen form of a known word counts too. All ``2 ** BITS`` of them may be used;
-those whose presence depends on the label, by chi-square over the labelled
-sample, are. The likelihood and its gradient are summed in Spark tasks and
+those whose presence depends on the label, by chi-square over all labelled
+documents, are. The likelihood and its gradient are summed in Spark tasks and
 minimised by L-BFGS on the driver, which never holds a document's features.
 """
 
@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._shared import cut, slices, table
 from .decontaminate import words
-from .labelled import held_out_fold, labelled_sample
+from .labelled import held_out_fold, labelled_texts, order_statistics
 
 GRADES = 4
 #: Features are numbers below 2 ** BITS: a model has no more weights than that.
 BITS = 22
 GRAM = 5
 _CACHE = 200_000
+#: Parts that sum a gradient, and numbers of a gradient that each sends to the driver; longer ones are first summed by blocks of that length.
+_MOST_PARTS, BLOCK = 64, 1 << 16
 
 
 def word_features(word: bytes) -> set[int]:
@@ -140,23 +142,36 @@ def learn_ordinal(parts: Callable[[np.ndarray], tuple[float, np.ndarray]], n: in
     return p[:n_features], thresholds(p[n_features:])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, most_labelled: int = 20_000, least_chi: float = 15.0) -> OrdinalModel:
-    """Learn from at most ``most_labelled`` labelled documents, whole texts.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None, least_chi: float = 15.0) -> OrdinalModel:
+    """Learn from all labelled documents, whole texts.
 
     Without a toxic label there are no features and nothing is toxic.
     """
     spark = docs.sparkSession
-    sample = cut(labelled_sample(docs, labels, label, most_labelled, learn), "toxic_sample")
+    known = cut(labelled_texts(docs, labels, label, learn), "toxic_labelled")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            for y, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
-                found = list({f for w in set(words(text)) for f in word_features(w)})
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([y] * len(found), pa.int32())], names=["feature", "label"])
+        cache: dict[bytes, np.ndarray] = {}
+
+        def numbers(word: bytes) -> np.ndarray:
+            at = cache.get(word)
+            if at is None:
+                at = np.fromiter(word_features(word), np.int32)
+                if len(cache) < _CACHE and len(word) <= 64:
+                    cache[word] = at
+            return at
 
-    n = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    seen = sample.select("label", "text").mapInArrow(distinct, "feature int, label int")
-    seen = seen.groupBy("feature").agg(F.sum("label").alias("bad"), F.count("*").alias("df")).where("df >= 2")
+        none = np.empty(0, np.int32)
+        for b in slices(batches):
+            found = [np.unique(np.concatenate([none, *map(numbers, set(words(t)))])) for t in b.column("text").to_pylist()]
+            bad = np.repeat(b.column("label").to_numpy(), [len(x) for x in found])
+            feature, at = np.unique(np.concatenate([none, *found]), return_inverse=True)
+            columns = [feature, np.bincount(at, bad, len(feature)).astype(np.int64), np.bincount(at, minlength=len(feature))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "bad", "df"])
+
+    n = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
+    seen = known.select("label", "text").mapInArrow(distinct, "feature int, bad long, df long")
+    seen = seen.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("df").alias("df")).where("df >= 2")
     # chi-square of a feature's presence against the label
     expected = F.col("df") * float(n["bad"] / max(1, n["n"]))
     chi = (F.col("bad") - expected) ** 2 / F.greatest(expected * (1 - F.col("df") / float(max(1, n["n"]) + 1)), F.lit(1e-9))
@@ -177,9 +192,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
             columns = [b.column("doc_id"), b.column("label"), pa.array(strength, pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "strength", "at", "value"])
 
-    rows = cut(sample.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label int, strength double, at array<int>, value array<double>"), "toxic_features")
-    strengths = np.sort(rows.where("label > 0").select("strength").toPandas()["strength"].to_numpy())
-    edges = np.quantile(strengths, np.arange(1, GRADES - 1) / (GRADES - 1))
+    rows = cut(known.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label int, strength double, at array<int>, value array<double>"), "toxic_features")
+    bad = rows.where("label > 0")
+    at = (bad.count() - 1) * np.arange(1, GRADES - 1) / (GRADES - 1)
+    low, high = (np.array(order_statistics(bad, "strength", [int(r) for r in f(at)])) for f in (np.floor, np.ceil))
+    edges = low + (high - low) * (at - np.floor(at))
+    rows = rows.coalesce(_MOST_PARTS)
 
     def total(p: np.ndarray) -> tuple[float, np.ndarray]:
         def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,10 +209,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
                 cols, values = (b.column(c).flatten().to_numpy() for c in ("at", "value"))
                 more = ordinal_loss(p, np.repeat(np.arange(b.num_rows), sizes), cols, values, grade)
                 loss, g = loss + more[0], g + more[1]
-            yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([g.tobytes()], pa.binary())], names=["loss", "g"])
-
-        found = rows.select("label", "strength", "at", "value").mapInArrow(partial, "loss double, g binary").toArrow()
-        return float(sum(found.column("loss").to_pylist())), sum(np.frombuffer(x, np.float64) for x in found.column("g").to_pylist())
+            blocks = [g[at : at + BLOCK].tobytes() for at in range(0, len(g), BLOCK)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([loss] + [0.0] * (len(blocks) - 1)), pa.array(blocks, pa.binary())], names=["block", "loss", "g"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, sums = {}, {}
+            for b in batches:
+                for k, one, g in zip(*(b.column(c).to_pylist() for c in ("block", "loss", "g"))):
+                    loss[k], sums[k] = loss.get(k, 0.0) + one, sums.get(k, 0.0) + np.frombuffer(g, np.float64)
+            columns = [pa.array(sums.keys(), pa.int32()), pa.array(loss.values(), pa.float64()), pa.array([g.tobytes() for g in sums.values()], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["block", "loss", "g"])
+
+        schema = "block int, loss double, g binary"
+        found = rows.select("label", "strength", "at", "value").mapInArrow(partial, schema)
+        found = found if len(p) <= BLOCK else found.repartition("block").mapInArrow(summed, schema)
+        g = np.zeros(len(p))
+        found = found.toArrow()
+        for k, part in zip(found.column("block").to_pylist(), found.column("g").to_pylist()):
+            g[k * BLOCK : (k + 1) * BLOCK] += np.frombuffer(part, np.float64)
+        return float(sum(found.column("loss").to_pylist())), g
 
     return OrdinalModel(place, *learn_ordinal(total, n["n"], len(place)))
 
