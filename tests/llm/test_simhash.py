@@ -141,6 +141,36 @@ def test_drop_keeps_one_of_each_group(docs):
         assert left.columns == unique.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 2, 8]
 
 
+def test_fingerprints_link_near_copies_without_bands(docs, monkeypatch):
+    """Texts with one word in 600 changed lie within 4 bits: the pivot search alone finds them, exact similarity alone decides."""
+    from treecat.llm import set_similarity, simhash
+
+    rng, rows = random.Random(8), []
+    for i in range(20):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(600)]
+        rows += [(3 * i, " ".join(words)), (3 * i + 1, " ".join([*words[:-1], "changed"])), (3 * i + 2, prose(rng, 40))]
+    rows += [(100 + i, t) for i, t in enumerate(("", "one", "two words", None))]
+    sims = {i: set_similarity.majority_bits(set_similarity.shingle_set(t)) for i, t in rows}
+    near = {3 * i + 1 for i in range(20) if (sims[3 * i] ^ sims[3 * i + 1]).bit_count() <= 4}
+    assert len(near) > 10
+    monkeypatch.setattr(set_similarity, "band_keys", lambda hashes: np.empty(0, np.uint64))
+    left = {r["doc_id"] for r in drop_near_duplicates(docs(rows)).collect()}
+    assert left == {i for i, _ in rows} - near - {103}
+    monkeypatch.setattr(simhash, "fingerprint_links", lambda prints, radius: prints.crossJoin(prints.select(F.col("fp").alias("v"))).where("fp < v").withColumnRenamed("fp", "u"))
+    left = {r["doc_id"] for r in drop_near_duplicates(docs(rows)).collect()}  # all pairs meet: none goes without similarity
+    assert left == {i for i, _ in rows} - {3 * i + 1 for i in range(20)} - {103}
+
+
+def test_known_links_are_not_made_again():
+    from treecat.llm.set_similarity import set_links
+
+    base = np.arange(100, dtype=np.uint64)
+    sets = [base, np.append(base[:-1], np.uint64(200)), np.arange(300, 400, dtype=np.uint64), np.append(base[:-2], np.uint64(999))]
+    assert len(set_links(sets, 0.8)) == 2
+    assert set_links(sets, 0.8, np.array([1, 1, 1, 1])) == []
+    assert len(set_links(sets, 0.8, np.array([1, 2, 2, 3]))) == 2
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(300)]
     star = [(1000, i) for i in range(1001, 1400)] + [(5000, 5001), (5001, 5000), (6000, 6000), (None, 3)]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import cut, lower_bytes, slices, spread_join
 from .components import connected_components, named_components
-from .set_similarity import set_components, with_set_digest, with_sets
+from .set_similarity import confirmed_links, distinct_sets, set_components, with_set_digest, with_sets
 
 BITS = 64
 #: Shingles whose bits are counted at once, so that a very long text takes bounded memory.
@@ -251,12 +251,14 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, most_broadcast: int = 1_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 4, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component, one row per such id.
 
     Documents link where the Jaccard similarity of their word shingles is at
-    least ``similarity``, whatever their fingerprints: at 0.8 those lie some ten
-    bits apart, too far for blocks. All columns stay. Rows that repeat a doc_id
+    least ``similarity``. SimHash fingerprints of the shingles are searched
+    through the pivot distance tables, and links of up to ``radius`` bits are
+    confirmed by exact similarity. At 0.8 fingerprints lie some ten bits apart,
+    so what is not linked by then is also met by MinHash bands. All columns stay. Rows that repeat a doc_id
     with a text of the same component count as one document: the one with the
     smallest text stays. Null ids count as one id, which stays where its
     component has no other; null and empty texts are one group; an empty table
@@ -267,7 +269,9 @@ def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int
     """
     columns = docs.columns
     prints = cut(with_sets(docs, shingle), "sets")
-    stay = set_components(prints, similarity)
+    own = distinct_sets(prints)
+    links = fingerprint_links(own.select(F.col("sim").alias("fp")).distinct(), radius)
+    stay = set_components(prints, own, confirmed_links(prints, own, links, similarity), similarity)
     if not prints.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count():
         gone = cut(spread_join(prints.select("doc_id", "fp"), stay, ["fp"]).where("doc_id <> component_id").select("doc_id"), "gone")
         gone = F.broadcast(gone) if gone.count() <= most_broadcast else gone
