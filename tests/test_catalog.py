@@ -671,3 +671,28 @@ def test_text_and_html(load):
     with pytest.raises(ValueError):
         treecat.verbose("loud")
     treecat.verbose(False)
+
+
+def test_cells_of_orders_against_plain_statistics(spark, tmp_path):
+    """Percentiles between two values, ties, nulls, one row, one large group, an order without customer; lines are shuffled once and narrow."""
+    from treecat import catalog_queries as cq
+
+    rng = np.random.default_rng(6)
+    groups = {1: [5.0], 2: [1.0, 2.0], 3: [7.0, 7.0, None, 9.0], 4: rng.normal(size=5_000).tolist(), 5: [None], 6: [3.0, 1.0, 2.0, 10.0, 4.0]}
+    lines = [(k, v, None if v is None else v * 100) for k, vs in groups.items() for v in vs]
+    spark.createDataFrame(lines, "l_orderkey long, l_quantity double, l_extendedprice double").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, 70 + k) for k in (1, 2, 3, 4, 5)], "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    cells = cq._order_cells(spark, str(tmp_path))
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "percentile" not in plan
+    found = {r["l_orderkey"]: r for r in cells.collect()}
+    assert {k: r["o_custkey"] for k, r in found.items()} == {1: 71, 2: 72, 3: 73, 4: 74, 5: 75, 6: None}
+    for k, vs in groups.items():
+        assert found[k][C.SHAPE_COLUMN] == [2, len(vs), 1]
+        for band, times in enumerate((1, 100)):
+            v, got = np.array([x for x in vs if x is not None]) * times, found[k][C.STATS_COLUMNS[0]][band]
+            if not len(v):
+                assert got == [None, None, None, 0.0, 100.0, None, None, None, None]
+                continue
+            want = [v.min(), v.max(), v.mean(), v.std(ddof=1) if len(v) > 1 else 0.0, 100.0, *np.quantile(v, (0.25, 0.5, 0.75, 0.95))]
+            assert got == pytest.approx(want, rel=1e-5, abs=1e-5)

@@ -378,19 +378,41 @@ def cascade_rsut(spark, sf_dir):
 
 
 def _cells(rows: DataFrame, key: str) -> DataFrame:
-    """One row per key with the nine statistics of quantity and price, and a shape of as many pixels as rows."""
+    """One row per key with the nine statistics of quantity and price, and a shape of as many pixels as rows.
+
+    Rows are shuffled once, by key. Percentiles are interpolated between the
+    two values beside their place in the order of a window, where nulls come
+    last, so no list or map of a group's values is held in an aggregate.
+    """
+    columns = ("l_quantity", "l_extendedprice")
+    rows = rows.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).repartition(key)
+    whole = Window.partitionBy(key)
+    for c in columns:
+        rows = rows.withColumn(f"{c}_place", F.row_number().over(whole.orderBy(F.col(c).asc_nulls_last())) - 1)
+        rows = rows.withColumn(f"{c}_n", F.count(c).over(whole))
 
     def cell(c: str):
-        at = lambda p: F.percentile(c, F.lit(p))
+        def at(p: float):
+            place = (F.col(f"{c}_n") - 1) * F.lit(p)
+            near = F.lit(1.0) - F.abs(F.col(f"{c}_place") - place)  # share of the value in the percentile
+            low, high = (F.max(F.when(F.col(f"{c}_place") == f(place), F.col(c))) for f in (F.floor, F.ceil))
+            share = F.max(F.when(F.col(f"{c}_place") == F.floor(place), near))
+            return F.when(low == high, low).otherwise(share * low + (1 - share) * high)
+
         return F.array(*(x.cast("float") for x in (F.min(c), F.max(c), F.avg(c), F.coalesce(F.stddev_samp(c), F.lit(0.0)), F.lit(100.0), at(0.25), at(0.5), at(0.75), at(0.95))))
 
-    made = rows.groupBy(key).agg(F.array(cell("l_quantity"), cell("l_extendedprice")).alias(C.STATS_COLUMNS[0]), F.count("*").alias("__n"))
+    made = rows.groupBy(key).agg(F.array(*map(cell, columns)).alias(C.STATS_COLUMNS[0]), F.count("*").alias("__n"))
     return made.withColumn(C.SHAPE_COLUMN, F.array(F.lit(2).cast("long"), F.col("__n"), F.lit(1).cast("long"))).drop("__n")
 
 
+def _order_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of orders with their customers, which are null where ``orders`` lacks the order; cells are not shuffled for it."""
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    return _cells(read(spark, sf_dir, "lineitem"), "l_orderkey").join(orders, "l_orderkey", "left")
+
+
 def stats_tree(spark: SparkSession, sf_dir: str) -> Dataset:
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    cells = stored(spark, sf_dir, "cells", lambda: _cells(read(spark, sf_dir, "lineitem"), "l_orderkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    cells = stored(spark, sf_dir, "cells", lambda: _order_cells(spark, sf_dir))
     rows = cells.select(*_node(C.FILE, "concat('o', l_orderkey)", "l_orderkey", "o_custkey"), q(C.STATS_COLUMNS[0]), q(C.SHAPE_COLUMN))
     top = read(spark, sf_dir, "customer").select(*_node(C.FOLDER, "c_name", "c_custkey"))
     return from_levels(spark, _document(C.FOLDER, [C.FILE]), {0: top, 1: rows}, C.PLAIN, "/s", "/s")
