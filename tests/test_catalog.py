@@ -696,3 +696,19 @@ def test_cells_of_orders_against_plain_statistics(spark, tmp_path):
                 continue
             want = [v.min(), v.max(), v.mean(), v.std(ddof=1) if len(v) > 1 else 0.0, 100.0, *np.quantile(v, (0.25, 0.5, 0.75, 0.95))]
             assert got == pytest.approx(want, rel=1e-5, abs=1e-5)
+
+
+def test_archive_levels_are_written_by_several_tasks(spark, tmp_path):
+    """No task writes a whole level: each partition has row groups of its own, in order."""
+    from treecat.sources.export import write_archive
+
+    place = "CAST(0 AS LONG) AS `internal:offset`, CAST(1 AS LONG) AS `internal:size`"
+    rows = spark.range(0, 5_000, 1, 5).selectExpr("concat('s', id) AS id", "'FILE' AS type", "id AS `internal:current_id`", place.split(", CAST")[0], "CAST" + place.split(", CAST")[1], "IF(id % 7 = 0, NULL, id * 0.5) AS x")
+    path = write_archive(spark, str(tmp_path / "a.zip"), [rows, rows.limit(0)], {"id": "a", "dataset_version": "1.0.0", "description": "", C.TREE_KEY: {"root": {"n": 0, "type": "FILE"}, "hierarchy": {}}})
+    (offset, size), (at, long), _ = archive.entries_of(path)
+    with open(path, "rb") as f:
+        raw = f.read()
+    file = archive.pq.ParquetFile(archive.pa.BufferReader(raw[offset : offset + size]))
+    assert file.num_row_groups == 5 and file.read().column("internal:current_id").to_pylist() == list(range(5_000))
+    assert file.read().column("x").to_pylist() == [None if i % 7 == 0 else i * 0.5 for i in range(5_000)]
+    assert archive.pq.ParquetFile(archive.pa.BufferReader(raw[at : at + long])).metadata.num_rows == 0

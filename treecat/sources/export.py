@@ -38,16 +38,17 @@ def write_catalog(dataset: Dataset, path: str) -> str:
 def write_archive(spark: SparkSession, path: str, levels: list[DataFrame], document: dict, row_group: int = 8 << 20) -> str:
     """An archive of level tables and their document, without blocks of data.
 
-    Spark writes each level as one Parquet file, which the format asks for; the
-    files are then copied behind the header piece by piece.
+    Tasks write a level's Parquet files; their row groups are joined to the one
+    Parquet file that the format asks for, without decoding them, and the
+    levels' files are then copied behind the header piece by piece.
     """
     from .archive import HEADER, pack_header
 
     parts = []
     for df in levels:
         where = files.scratch(spark, "level")
-        df.coalesce(1).write.option("parquet.block.size", row_group).parquet(where)
-        parts.append(files.only_part(spark, where))
+        df.write.option("parquet.block.size", row_group).parquet(where)
+        parts.append(files.joined_parquet(spark, where, where + ".parquet"))
     sizes = [files.size(spark, p) for p in parts]
     raw = json.dumps(document).encode()
     entries, at = [], HEADER

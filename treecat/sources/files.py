@@ -93,6 +93,32 @@ def only_part(spark: SparkSession, folder: str) -> str:
     return found[0]
 
 
+def joined_parquet(spark: SparkSession, folder: str, path: str) -> str:
+    """One Parquet file of the row groups of all data files that Spark wrote below ``folder``, in their order.
+
+    The JVM copies the row groups as they are, without decoding them, and
+    writes a footer of all.
+    """
+    jvm, where, fs = _open(spark, folder)
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), jvm.org.apache.parquet.hadoop
+    parts = sorted((str(f.getPath()) for f in fs.listStatus(where) if str(f.getPath().getName()).startswith("part-")))
+    if not parts:
+        raise StorageError(f"{folder} has no parts")
+    inputs = [hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(p), conf) for p in parts]
+    reader = hadoop.ParquetFileReader.open(inputs[0])
+    try:
+        meta = reader.getFileMetaData()
+    finally:
+        reader.close()
+    output = hadoop.util.HadoopOutputFile.fromPath(jvm.org.apache.hadoop.fs.Path(path), conf)
+    writer = hadoop.ParquetFileWriter(output, meta.getSchema(), hadoop.ParquetFileWriter.Mode.CREATE, 128 << 20, 0)
+    writer.start()
+    for one in inputs:
+        writer.appendFile(one)
+    writer.end(meta.getKeyValueMetaData())
+    return path
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path not used before, in the folder that all executors share.
 
