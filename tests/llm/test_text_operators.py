@@ -5,9 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_texts import prose
 
+from treecat.llm._shared import BATCH_BYTES, map_arrow
 from treecat.llm import decontaminate as dc, pieces as ps, token_counts as tc
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -226,6 +228,43 @@ def test_long_texts_without_spaces_take_the_batched_search(monkeypatch):
     assert want.decode(want.encode(texts[:1])[0].tolist()) == texts[0]
 
 
+def test_encoding_takes_bounded_memory(monkeypatch):
+    """A million characters of words not seen before are searched some at a time, words of many pieces are not all remembered, and the ids are the same."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    merged = ps.PieceModel(ps.read_model(ps.MODEL), True)
+    made = [" " + "".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(100_000)]
+    tracemalloc.start()
+    ids, counts = merged.encode_words(made)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(counts) == len(made) and counts.sum() == len(ids) and peak < 60e6
+    texts, seen = [unspaced(rng, 2_000) for _ in range(30)], ps._Words()
+    want = [x.tolist() for x in merged.encode(texts)]
+    monkeypatch.setattr(ps, "_CELLS", 500)
+    monkeypatch.setattr(ps, "_CACHED", 5_000)
+    for text, one in zip(texts, want):
+        assert merged.encode([text], seen)[0].tolist() == one
+        assert len(seen.ids) < 5_000 + 3 * len(text)
+
+
+def test_arrow_batches_are_small(spark):
+    """Rows of 4 KB reach Python in batches of some 4 MB, in a session that has no limit of its own."""
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    found = map_arrow(spark.newSession().range(0, 5_000, 1, 1).selectExpr("repeat('x', 4096) AS text"), sizes, "n long")
+    most = [r["n"] for r in found.collect()]
+    assert sum(most) >= 5_000 * 4096 and max(most) < 1.1 * BATCH_BYTES
+    own = spark.newSession()
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1m")
+    found = map_arrow(own.range(0, 5_000, 1, 1).selectExpr("repeat('x', 4096) AS text"), sizes, "n long")
+    assert max(r["n"] for r in found.collect()) < 1.1 * (1 << 20)
+
+
 def test_models_that_cannot_work():
     byte = [(f"<0x{i:02X}>", 0.0, "byte") for i in range(256)]
     with pytest.raises(ValueError):

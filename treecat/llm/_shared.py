@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+#: Spark's limit on the bytes of an Arrow batch, and the one that ``map_arrow`` sets.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 #: Bytes 0-255 with A-Z folded to a-z; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -67,6 +69,18 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], rows: str =
     return left.join(some, keys).unionByName(rest)
 
 
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(f, schema)`` over batches of some ``BATCH_BYTES`` or one row.
+
+    By its defaults of 10,000 rows and 64 MB a task holds tens of MB of text at
+    once, in the executor and again in Python. The limit is the session's; one
+    that the session has set itself stays.
+    """
+    if df.sparkSession.conf.get(_BATCH, None) is None:
+        df.sparkSession.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(f, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut to at most ``rows`` rows, so that few long texts at a time become Python objects."""
     for b in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, slices
+from ._shared import cut, map_arrow, slices
 
 #: 0-9, a-z and bytes from 0x80 stay, A-Z fold, all else is a space.
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -109,7 +109,7 @@ def window_table(items: DataFrame, width: int) -> DataFrame:
                     columns = [pa.array([item] * len(part), pa.int64()), pa.array([size] * len(part), pa.int32()), pa.array(part.view(np.int64)), pa.array([digest(found[i : i + size]) for i in rows], pa.binary())]
                     yield pa.RecordBatch.from_arrays(columns, names=["item", "size", "hash", "digest"])
 
-    return items.mapInArrow(run, "item long, size int, hash long, digest binary")
+    return map_arrow(items, run, "item long, size int, hash long, digest binary")
 
 
 def filter_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -227,7 +227,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int =
             out = _columns(list(map(len, found)), runs, [sorted(index.names[i] for i in x if i >= 0) for x in which])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, *_ADDED])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def _scan_by_join(docs: DataFrame, items: DataFrame, windows: DataFrame, text: str, names: list[str], schema, most_broadcast: int) -> DataFrame:
@@ -262,7 +262,7 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, windows: DataFrame, text: s
             columns = [b.column("__row"), *(b.column(c) for c in names), pa.array(list(map(len, found)), pa.int64()), pa.array(seen, seen_type)]
             yield pa.RecordBatch.from_arrays(columns, names=["__row", *names, "n_words", "__seen"])
 
-    sifted = cut(numbered.mapInArrow(sift, seen_schema), "sifted")
+    sifted = cut(map_arrow(numbered, sift, seen_schema), "sifted")
     seen = sifted.select("__row", F.explode("__seen").alias("s")).select("__row", "s.*")
     hits = cut(seen.join(windows, ["size", "hash", "digest"]).join(items.select("item", "item_id"), "item").groupBy("__row").agg(F.collect_set(F.struct("at", "size")).alias("__spans"), F.sort_array(F.collect_set("item_id")).alias("hit_items")), "hits")
     hits = F.broadcast(hits) if hits.count() <= most_broadcast else hits
@@ -280,7 +280,7 @@ def _scan_by_join(docs: DataFrame, items: DataFrame, windows: DataFrame, text: s
             out = _columns(b.column("n_words").to_pylist(), runs, [x or [] for x in b.column("hit_items").to_pylist()])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *out], names=[*names, *_ADDED])
 
-    return met.mapInArrow(merge, schema)
+    return map_arrow(met, merge, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10) -> DataFrame:
@@ -321,7 +321,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
             take = lambda c: f"__{c}" if f"__{c}" in b.schema.names else c
             yield pa.RecordBatch.from_arrays([pa.array(cleaned, pa.string()) if c == "text" else b.column(take(c)) for c in columns], names=columns)
 
-    return found.mapInArrow(run, schema)
+    return map_arrow(found, run, schema)
 
 
 #: Items' and documents' windows, joined; DuckDB.

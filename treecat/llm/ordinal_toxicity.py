@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import cut, slices, table
+from ._shared import cut, map_arrow, slices, table
 from .decontaminate import words
 from .labelled import held_out_fold, labelled_texts, order_statistics
 
@@ -170,7 +170,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["feature", "bad", "df"])
 
     n = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad")).first()
-    seen = known.select("label", "text").mapInArrow(distinct, "feature int, bad long, df long")
+    seen = map_arrow(known.select("label", "text"), distinct, "feature int, bad long, df long")
     seen = seen.groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("df").alias("df")).where("df >= 2")
     # chi-square of a feature's presence against the label
     expected = F.col("df") * float(n["bad"] / max(1, n["n"]))
@@ -192,7 +192,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
             columns = [b.column("doc_id"), b.column("label"), pa.array(strength, pa.float64()), pa.array([x for x, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "label", "strength", "at", "value"])
 
-    rows = cut(known.select("doc_id", "label", "text").mapInArrow(sparse, "doc_id long, label int, strength double, at array<int>, value array<double>"), "toxic_features")
+    rows = cut(map_arrow(known.select("doc_id", "label", "text"), sparse, "doc_id long, label int, strength double, at array<int>, value array<double>"), "toxic_features")
     bad = rows.where("label > 0")
     at = (bad.count() - 1) * np.arange(1, GRADES - 1) / (GRADES - 1)
     low, high = (np.array(order_statistics(bad, "strength", [int(r) for r in f(at)])) for f in (np.floor, np.ceil))
@@ -221,8 +221,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn
             yield pa.RecordBatch.from_arrays(columns, names=["block", "loss", "g"])
 
         schema = "block int, loss double, g binary"
-        found = rows.select("label", "strength", "at", "value").mapInArrow(partial, schema)
-        found = found if len(p) <= BLOCK else found.repartition("block").mapInArrow(summed, schema)
+        found = map_arrow(rows.select("label", "strength", "at", "value"), partial, schema)
+        found = found if len(p) <= BLOCK else map_arrow(found.repartition("block"), summed, schema)
         g = np.zeros(len(p))
         found = found.toArrow()
         for k, part in zip(found.column("block").to_pylist(), found.column("g").to_pylist()):
@@ -254,7 +254,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, drop_toxic: bool = False
             out = pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
             yield out.filter(pa.array(~toxic)) if drop_toxic else out
 
-    return docs.mapInArrow(add, schema)
+    return map_arrow(docs, add, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import cut, slices, space_words, table
+from ._shared import cut, map_arrow, slices, space_words, table
 from .labelled import held_out_fold, labelled_texts, order_statistics
 
 #: Words share this many hashed features.
@@ -234,7 +234,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", lear
             yield pa.RecordBatch.from_arrays([b.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
     texts = labelled_texts(docs, labels, label, learn).select("label", "text")
-    rows = cut(texts.mapInArrow(features, "label int, x binary"), "quality_features")
+    rows = cut(map_arrow(texts, features, "label int, x binary"), "quality_features")
     rows = rows.coalesce(_MOST_PARTS)  # each part sends about a megabyte
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -245,7 +245,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", lear
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(f(matrices(batches)))], pa.binary())], names=["said"])
 
-        return [pickle.loads(x) for x in rows.mapInArrow(run, "said binary").toArrow().column("said").to_pylist()]
+        return [pickle.loads(x) for x in map_arrow(rows, run, "said binary").toArrow().column("said").to_pylist()]
 
     weights, n_good, n_bad = learn_all_pairs(parts)
     if not n_good or not n_bad:
@@ -255,7 +255,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", lear
         for x, _ in matrices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x @ weights, pa.float64())], names=["score"])
 
-    ranked = order_statistics(cut(rows.mapInArrow(scored, "score double"), "quality_scores"), "score", [n_bad - 1, n_bad])
+    ranked = order_statistics(cut(map_arrow(rows, scored, "score double"), "quality_scores"), "score", [n_bad - 1, n_bad])
     return PairwiseModel(weights, float(sum(ranked) / 2))
 
 
@@ -270,7 +270,7 @@ def with_quality(docs: DataFrame, model: PairwiseModel, name: str = "score", lea
             out = pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, name])
             yield out if least is None else out.filter(pa.array(score >= least))
 
-    return docs.mapInArrow(add, schema)
+    return map_arrow(docs, add, schema)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ._shared import slices, table
+from ._shared import map_arrow, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Fixed values of the model format: the space mark, and a score that marks pieces no text search may use.
@@ -47,10 +47,10 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Tells substrings of different lengths apart in one table.
 _LENGTH = np.uint64(0xD6E8FEB86659FD93)
-#: Distinct words whose pieces a task remembers.
-_CACHE = 400_000
-#: Cells (words times characters) of one batched search.
-_CELLS = 1 << 21
+#: Distinct words whose pieces a task remembers, and how many pieces they may have together.
+_CACHE, _CACHED = 200_000, 1 << 21
+#: Characters of one batched search, which takes some 100 bytes for each.
+_CELLS = 1 << 18
 #: Top bits of a hash that a first look asks for, before the sorted keys are searched.
 _FILTER_BITS = 18
 _FILTER_SHIFT = np.uint64(64 - _FILTER_BITS)
@@ -364,9 +364,13 @@ class PieceModel:
         return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(piece ids end to end, how many each word has), bytes of characters without a piece included."""
-        if not words:
-            return np.empty(0, np.int32), np.empty(0, np.int64)
+        """(piece ids end to end, how many each word has), bytes of characters without a piece included; some ``_CELLS`` characters of words at a time."""
+        filled = np.cumsum(np.fromiter(map(len, words), np.int64, len(words))) // _CELLS
+        found = [self._encoded(words[a:b]) for a, b in _runs_of(filled)] or [(np.empty(0, np.int32), np.empty(0, np.int64))]
+        return np.concatenate([x for x, _ in found]), np.concatenate([n for _, n in found])
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode_words`` of some words, but not none."""
         cut = {i: self._parts(w) for i, w in enumerate(words) if len(w) > self.longest}
         parts = [p for i, w in enumerate(words) for p in (cut[i] if i in cut else (w,))] if cut else words
         per_word = np.ones(len(words), np.int64)
@@ -406,7 +410,7 @@ class PieceModel:
         ``seen`` remembers words from call to call.
         """
         seen = _Words() if seen is None else seen
-        if len(seen) > _CACHE:
+        if len(seen) > _CACHE or len(seen.ids) > _CACHED:
             seen.__init__()
             seen.clear()
         number = seen.__getitem__
@@ -455,7 +459,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(np.diff(offsets), pa.int32()), pa.array(back, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], names=[*b.schema.names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def decode_pieces(docs: DataFrame, ids: str = "piece_ids", name: str = "text", model: str = MODEL) -> DataFrame:
@@ -471,7 +475,7 @@ def decode_pieces(docs: DataFrame, ids: str = "piece_ids", name: str = "text", m
             out = [None if x is None else pieces.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op7_sentencepiece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ._shared import cut, lower_bytes, slices
+from ._shared import cut, lower_bytes, map_arrow, slices
 from .components import connected_components, named_components
 
 BANDS, ROWS = 24, 4
@@ -81,7 +81,7 @@ def with_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
                 [b.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), lists([band_keys(s) for s in sets]), lists(sets)], names=["doc_id", "fp", "sim", "bands", "hashes"]
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, sim long, bands array<long>, hashes array<long>").withColumn("row", F.monotonically_increasing_id())
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, fp long, sim long, bands array<long>, hashes array<long>").withColumn("row", F.monotonically_increasing_id())
 
 
 def with_set_digest(docs: DataFrame, shingle: int = 5, name: str = "fp") -> DataFrame:
@@ -93,7 +93,7 @@ def with_set_digest(docs: DataFrame, shingle: int = 5, name: str = "fp") -> Data
             fps = np.fromiter((_digest(shingle_set(t, shingle)) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def set_links(sets: list[np.ndarray], similarity: float, known: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -196,5 +196,5 @@ def set_components(sets: DataFrame, own: DataFrame, known: DataFrame, similarity
         if len(held) > 1:
             yield out()
 
-    edges = known.union(met.mapInArrow(links, "u long, v long"))
+    edges = known.union(map_arrow(met, links, "u long, v long"))
     return named_components(own.select("fp", "least_id", "n"), connected_components(edges))

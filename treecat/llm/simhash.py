@@ -27,7 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ._shared import cut, lower_bytes, slices, spread_join
+from ._shared import cut, lower_bytes, map_arrow, slices, spread_join
 from .components import connected_components, named_components
 from .set_similarity import confirmed_links, distinct_sets, set_components, with_set_digest, with_sets
 
@@ -71,7 +71,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp", shin
             fps = np.fromiter((fingerprint(t, shingle) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps.view(np.int64))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(add, schema)
+    return map_arrow(docs, add, schema)
 
 
 def pivots(count: int = 16) -> np.ndarray:
@@ -227,7 +227,7 @@ def fingerprint_links(fps: DataFrame, radius: int = 4, group_rows: int = 2048, n
         if held is not None and len(held[0]):
             yield out(held)
 
-    return met.mapInArrow(links, "u long, v long")
+    return map_arrow(met, links, "u long, v long")
 
 
 def fingerprint_components(prints: DataFrame, radius: int = 4) -> DataFrame:
